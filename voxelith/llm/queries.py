@@ -6,7 +6,10 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from voxelith.llm.lines import dedup_lines
+from voxelith.llm.mixing import mix_plan
 from voxelith.llm.quality import RULES, STOP_WORDS, quality_rules
+from voxelith.llm.simhash import near_duplicates
+from voxelith.llm.substring import dedup_substrings
 
 QUERIES: dict = {}
 ORACLE_SQL: dict = {}
@@ -68,3 +71,27 @@ SELECT doc_id, count(*) AS n_lines, CAST(count(*) FILTER (gone) AS BIGINT) AS n_
 )
 def op9_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return dedup_lines(_rows(spark, sf_dir, "documents").select("doc_id", "text")).select("doc_id", "n_lines", "n_dropped", F.sha2("kept_text", 256).alias("kept_sha256"))
+
+
+@query()
+def op3_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_duplicates(_rows(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
+@query(
+    r"""
+WITH d AS (SELECT doc_id, list_filter(regexp_split_to_array(coalesce(text, ''), '[\x20\x09-\x0D]+'), lambda x: x <> '') AS w FROM documents),
+ k AS (SELECT doc_id, i, sha256(array_to_string(w[i + 1 : i + 35], ' ')) AS s FROM (SELECT doc_id, w, unnest(range(0, len(w) - 34)) AS i FROM d)),
+ c AS (SELECT DISTINCT doc_id, i + j AS p FROM (SELECT doc_id, i FROM k QUALIFY count(*) OVER (PARTITION BY s) > 1), range(35) r(j)),
+ x AS (SELECT doc_id, w[p + 1] AS x, p FROM (SELECT doc_id, w, unnest(range(0, len(w))) AS p FROM d)),
+ g AS (SELECT x.doc_id, count(*) AS n_words, count(c.p) AS n_removed, coalesce(string_agg(x, ' ' ORDER BY x.p) FILTER (c.p IS NULL), '') AS kept
+   FROM x LEFT JOIN c ON x.doc_id = c.doc_id AND x.p = c.p GROUP BY x.doc_id)
+SELECT d.doc_id, coalesce(n_words, 0) AS n_words, coalesce(n_removed, 0) AS n_removed, sha256(coalesce(kept, '')) AS kept_sha256 FROM d LEFT JOIN g USING (doc_id)"""
+)
+def op4_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return dedup_substrings(_rows(spark, sf_dir, "documents")).select("doc_id", "n_words", "n_removed", F.sha2("kept_text", 256).alias("kept_sha256"))
+
+
+@query()
+def op8_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mix_plan(_rows(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken")
