@@ -7,10 +7,14 @@ from pyspark.sql import functions as F
 
 from voxelith.llm.lines import dedup_lines
 from voxelith.llm.mixing import mix_plan
+from voxelith.llm.pieces import encode
 from voxelith.llm.quality import RULES, STOP_WORDS, quality_rules
 from voxelith.llm.simhash import near_duplicates
 from voxelith.llm.substring import dedup_substrings
+from voxelith.llm.syncmers import edited_pairs, fingerprint, likeness, sketch
 
+#: A public SentencePiece model; read on the driver only.
+PIECES_MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 QUERIES: dict = {}
 ORACLE_SQL: dict = {}
 
@@ -95,3 +99,23 @@ def op4_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query()
 def op8_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mix_plan(_rows(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken")
+
+
+@query()
+def op5_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
+    made = encode(_rows(spark, sf_dir, "documents").select("doc_id", "text"), PIECES_MODEL)
+    return made.select("doc_id", "ids", "n_pieces", "score", "second_score", F.sha2("decoded", 256).alias("decoded_sha256"), (F.col("decoded") == F.coalesce("text", F.lit(""))).alias("round_trip"))
+
+
+@query()
+def op7_syncmer_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pairs = edited_pairs(_rows(spark, sf_dir, "documents")).withColumn("edited_made", sketch(F.col("edited")))
+    return pairs.select(
+        "doc_id",
+        F.char_length("text").cast("long").alias("n_chars"),
+        F.sha2("edited", 256).alias("edited_sha256"),
+        fingerprint(F.col("made")).alias("fingerprint"),
+        fingerprint(F.col("edited_made")).alias("edited_fingerprint"),
+        likeness(F.col("made"), F.col("edited_made")).alias("near_edited"),
+        likeness(F.col("made"), F.col("next_made")).alias("near_next"),
+    )
