@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from voxelith.llm.html import extract_main_text
 from voxelith.llm.lines import dedup_lines
 from voxelith.llm.mixing import mix_plan
 from voxelith.llm.pieces import encode
@@ -119,3 +120,8 @@ def op7_syncmer_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
         likeness(F.col("made"), F.col("edited_made")).alias("near_edited"),
         likeness(F.col("made"), F.col("next_made")).alias("near_next"),
     )
+
+
+@query()
+def op2_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return extract_main_text(_rows(spark, sf_dir, "pages")).withColumn("n_chars", F.char_length("text").cast("long"))
