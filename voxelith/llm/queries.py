@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from voxelith.llm.html import extract_main_text
 from voxelith.llm.lines import dedup_lines
 from voxelith.llm.mixing import mix_plan
+from voxelith.llm.pitmanyor import score as lm_score
 from voxelith.llm.pieces import encode
 from voxelith.llm.quality import RULES, STOP_WORDS, quality_rules
 from voxelith.llm.simhash import near_duplicates
@@ -125,3 +126,8 @@ def op7_syncmer_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query()
 def op2_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
     return extract_main_text(_rows(spark, sf_dir, "pages")).withColumn("n_chars", F.char_length("text").cast("long"))
+
+
+@query()
+def op10_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lm_score(_rows(spark, sf_dir, "documents")).drop("perplexity")
