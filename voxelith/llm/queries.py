@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from voxelith.llm.cotrain import classify
 from voxelith.llm.html import extract_main_text
 from voxelith.llm.lines import dedup_lines
 from voxelith.llm.mixing import mix_plan
@@ -131,3 +132,9 @@ def op2_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query()
 def op10_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lm_score(_rows(spark, sf_dir, "documents")).drop("perplexity")
+
+
+@query()
+def op6_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    made = classify(_rows(spark, sf_dir, "documents"), _rows(spark, sf_dir, "labels"))
+    return made.withColumnRenamed("quality", "kept")
