@@ -17,6 +17,8 @@ from voxelith.llm.common import byte_buffer, lower_bytes, mix, word_hashes, word
 LABELLED, UNLABELLED = 6000, 3000
 WORDS, META = 1 << 16, 1 << 10
 ROUNDS, TAKEN, CONFIDENT = 3, 300, 0.97
+#: A word or metadata value takes part if its share of positives is so many standard errors from the expected one.
+SURPRISE = 4.0
 _SHAPES = 9
 
 
@@ -60,7 +62,7 @@ def hash_text(s: str) -> int:
 
 @dataclass
 class Linear:
-    """A logistic model of sparse binary and dense features; a text's sparse part has length 1."""
+    """A logistic model of sparse binary and dense features."""
 
     sparse: np.ndarray
     dense: np.ndarray
@@ -69,25 +71,29 @@ class Linear:
     bias: float
 
     def logits(self, first: np.ndarray, index: np.ndarray, shape: np.ndarray) -> np.ndarray:
-        n = np.diff(first)
         sums = np.diff(np.concatenate([[0.0], np.cumsum(self.sparse[index])])[first])
-        return sums / np.sqrt(np.maximum(1, n)) + np.clip((shape - self.mean) / self.scale, -8, 8) @ self.dense + self.bias
+        return sums + np.clip((shape - self.mean) / self.scale, -8, 8) @ self.dense + self.bias
 
 
 def fit(first, index, shape, y: np.ndarray, weight: np.ndarray, width: int, steps: int = 150) -> Linear:
-    """Full-batch Adam on the weighted logistic loss with a small L2 term."""
+    """Full-batch Adam on the weighted logistic loss with a small L2 term, over the sparse features that tell the labels apart."""
     n = np.diff(first)
-    row, value = np.repeat(np.arange(len(n)), n), np.repeat(1 / np.sqrt(np.maximum(1, n)), n)
+    row = np.repeat(np.arange(len(n)), n)
     mean, scale = (shape.mean(axis=0), shape.std(axis=0) + 1e-6) if len(shape) else (np.zeros(shape.shape[1]), np.ones(shape.shape[1]))
     dense_x = np.clip((shape - mean) / scale, -8, 8)
     base = float(np.average(y, weights=weight)) if len(y) else 0.5
     base = min(max(base, 1e-3), 1 - 1e-3)
+    seen, positive = np.bincount(index, weight[row], width), np.bincount(index, (weight * y)[row], width)
+    telling = np.abs(positive - base * seen) > SURPRISE * np.sqrt(seen * base * (1 - base) + 0.5)
+    chosen = telling[index]
+    row, index = row[chosen], index[chosen]
+    first = np.concatenate([[0], np.cumsum(chosen)])[first]
     w = np.concatenate([np.zeros(width + shape.shape[1]), [np.log(base / (1 - base))]])
     m, v, total = np.zeros_like(w), np.zeros_like(w), max(1e-9, weight.sum())
     for t in range(1, steps + 1):
-        z = np.diff(np.concatenate([[0.0], np.cumsum(w[index] * value)])[first]) + dense_x @ w[width:-1] + w[-1]
+        z = np.diff(np.concatenate([[0.0], np.cumsum(w[index])])[first]) + dense_x @ w[width:-1] + w[-1]
         e = weight * (1 / (1 + np.exp(-np.clip(z, -30, 30))) - y) / total
-        g = np.concatenate([np.bincount(index, e[row] * value, width), e @ dense_x, [e.sum()]]) + 1e-5 * w
+        g = np.concatenate([np.bincount(index, e[row], width), e @ dense_x, [e.sum()]]) + 1e-5 * w
         m, v = 0.9 * m + 0.1 * g, 0.99 * v + 0.01 * g * g
         w -= 0.15 * m / (1 - 0.9**t) / (np.sqrt(v / (1 - 0.99**t)) + 1e-8)
     return Linear(w[:width], w[width:-1], mean, scale, float(w[-1]))
