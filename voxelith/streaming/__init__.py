@@ -1 +1 @@
-
+"""No operator here streams; arrays are batch sources. Cells of an event stream come from voxelith.plans.tables."""
