@@ -356,7 +356,7 @@ def child_rows(tree: DataFrame, parent: str = "") -> DataFrame:
 
 def ome_type_column(attributes: Column) -> Column:
     """metadata.node_type of attributes as JSON text, in the JVM."""
-    has = lambda *keys: F.coalesce(*[F.get_json_object(attributes, f"$.{k}") for k in keys]).isNotNull()
-    both = lambda name: has(f"ome['{name}']", f"['{name}']")
+    inside = lambda path: F.get_json_object(attributes, path)
+    both = lambda name: F.coalesce(inside(f"$['ome']['{name}']"), inside(f"$['{name}']")).isNotNull()
     image = F.when(both("image-label"), "label").otherwise("image")
     return F.when(both("plate"), "plate").when(both("bioformats2raw.layout"), "bioformats2raw").when(both("well"), "well").when(both("labels"), "labels").when(both("multiscales"), image).otherwise("unknown")

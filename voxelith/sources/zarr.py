@@ -409,8 +409,9 @@ def read_cells(spark: SparkSession, uri: str, array: str | None = None, start=No
     register(spark)
     given = {"array": array, "axes": ",".join(axes) if axes else None, **options}
     given |= {"start": ",".join(map(str, start)) if start is not None else None, "end": ",".join(map(str, end)) if end is not None else None}
+    found, meta = resolve(uri, array)
+    axis_names(found, meta, given["axes"])
     if start is not None or end is not None:
-        _, meta = resolve(uri, array)
         validate_region(meta.shape, start if start is not None else (0,) * meta.rank, end if end is not None else meta.shape)
     return spark.read.format("zarr").options(**{k: str(v) for k, v in given.items() if v is not None}).load(uri)
 
