@@ -14,7 +14,7 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from voxelith.llm.common import pack, plan_bytes, shuffle_partitions, unpack
+from voxelith.llm.common import pack, shuffle_partitions, text_bytes, unpack
 
 #: A run should hold about so many keys; blocks and buckets grow with the root of the input for that, within these bytes.
 RUN_KEYS, LEAST_BYTES, MOST_BYTES = 1000, 1 << 20, 32 << 20
@@ -25,11 +25,11 @@ def layout(docs: DataFrame) -> tuple[DataFrame, int, int]:
 
     A document's block is a hash of its id and text, so a lost task makes the same block again.
     """
-    total = plan_bytes(docs)
+    total = text_bytes(docs)
     each = min(MOST_BYTES, max(LEAST_BYTES, 4 * math.isqrt(RUN_KEYS * max(total, 1) // 4)))
     n = shuffle_partitions(docs.sparkSession)
     blocks = max(4 * n, math.ceil(total / each)) if total > LEAST_BYTES else 4
-    bits = max(2, math.ceil(math.log2(max(1, total / each))))
+    bits = min(24, max(2, math.ceil(math.log2(max(1, total / each)))))
     return docs.withColumn("block", F.pmod(F.xxhash64("doc_id", "text"), F.lit(blocks))).repartition(n, "block"), n, bits
 
 

@@ -35,9 +35,12 @@ def shuffle_partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
 
-def plan_bytes(df: DataFrame) -> int:
-    """The optimizer's size estimate. Steers partition counts only, never results."""
-    return int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+def text_bytes(df: DataFrame, column: str = "text") -> int:
+    """The optimizer's size estimate, or half the bytes of a text column where it has none. Steers partition counts only, never results."""
+    guess = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    if guess < 1 << 55:
+        return guess
+    return (df.agg(F.sum(F.octet_length(column))).first()[0] or 0) // 2
 
 
 def checkpointed(df: DataFrame) -> DataFrame:
