@@ -16,9 +16,9 @@ from voxelith.llm.common import byte_buffer, checkpointed, lower_bytes, mix, shu
 from voxelith.llm.simhash import _BIT, components, planes, within
 
 #: 64-bit limbs of a fingerprint; block keys of a document and least shingle hashes that make one.
-LIMBS, KEYS, LEAST = 4, 14, 4
+LIMBS, KEYS, LEAST = 16, 14, 4
 #: The radius is what the similarity makes likely, and so many standard deviations more.
-MARGIN = 1.5
+MARGIN = 2.5
 _MULTIPLIERS = mix(np.arange(1, KEYS * LEAST + 1, dtype=np.uint64)) | np.uint64(1)
 _OFFSETS = mix(np.arange(101, 101 + LIMBS, dtype=np.uint64))
 _ALL = np.uint64(0xFFFFFFFFFFFFFFFF)
