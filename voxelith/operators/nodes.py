@@ -2,10 +2,14 @@
 
 from __future__ import annotations
 
+import decimal
 import json
+import math
 from collections.abc import Iterator
 from dataclasses import dataclass
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -112,11 +116,6 @@ class Level:
 
 def write_bytes(spark: SparkSession, uri: str, array: M.ArrayMeta, region: PixelRegion, data: bytes) -> None:
     """Lays a region's bytes over the array, each chunk by one task."""
-    import math
-
-    import numpy as np
-    import pandas as pd
-
     start, end = validate_region(array.shape, region.start, region.end)
     shape = [e - s for s, e in zip(start, end, strict=True)]
     if len(data) != math.prod(shape) * array.type.size:
@@ -126,8 +125,6 @@ def write_bytes(spark: SparkSession, uri: str, array: M.ArrayMeta, region: Pixel
     names = [f"d{k}" for k in range(len(shape))]
     frame = pd.DataFrame({n: index[k] for k, n in enumerate(names)})
     if array.type.name == "uint64":
-        import decimal
-
         frame["value"] = [decimal.Decimal(int(v)) for v in values]
     else:
         frame["value"] = values.astype({"uint8": "int16", "uint16": "int32", "uint32": "int64"}.get(array.type.name, values.dtype))

@@ -13,13 +13,14 @@ import math
 from collections.abc import Callable
 from dataclasses import dataclass
 
+import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from voxelith.functions.pixels import convert
 from voxelith.functions.transforms import PhysicalROI, PixelRegion, axis_pixel_sizes, physical_to_pixel, pixel_to_physical
 from voxelith.sources.errors import RegionError
-from voxelith.sources.metadata import Axis
+from voxelith.sources.metadata import TYPES, Axis
 from voxelith.sources.zarr import chunk_range, validate_region
 
 
@@ -205,10 +206,6 @@ class ArrayView:
 
     def to_dense(self):
         """A NumPy array of the view on the driver: for small views."""
-        import numpy as np
-
-        from voxelith.sources.metadata import TYPES
-
         out = np.zeros(self.extent, TYPES[self.dtype].numpy)
         rows = self.cells.toPandas()
         if len(rows):

@@ -6,6 +6,8 @@ the SQL can say the same; tests run the operators over stores as well.
 
 from __future__ import annotations
 
+import dataclasses
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -253,8 +255,6 @@ def A1_many_regions(spark: SparkSession, sf_dir: str) -> DataFrame:
     rois = table(spark, sf_dir, "part").select(key.alias("roi_id"), (key % 400).alias("y_start"), (key % 400 + F.col("p_size")).alias("y_end"), (key % 50).alias("x_start"), (key % 50 + 7).alias("x_end"))
     view = embeddings(spark, sf_dir)
     wide = view.cells.withColumn("value", F.col("value").cast("double"))
-    import dataclasses
-
     return A.by_roi(dataclasses.replace(view, cells=wide), rois).select("roi_id", "n_cells", _rounded("total", "total", 3))
 
 

@@ -22,7 +22,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceArrowWriter, DataSourceReader, EqualTo, GreaterThan, GreaterThanOrEqual, In, InputPartition, LessThan, LessThanOrEqual, WriterCommitMessage
 from pyspark.sql.types import StructType
 
-from voxelith.sources.codecs import EMPTY, pipeline_v3
+from voxelith.sources.codecs import EMPTY
 from voxelith.sources.errors import CodecError, MetadataError, NodeNotFoundError, RegionError, UnsupportedError
 from voxelith.sources.metadata import ArrayMeta, effective_axes, multiscales, node_type, open_array, open_group
 from voxelith.sources.store import Store, join_key, open_store
@@ -439,4 +439,4 @@ def write_cells(cells: DataFrame, uri: str, array: str | None = None, overwrite:
     dealt.write.format("zarr").mode("overwrite" if overwrite else "append").options(**options).save(uri)
 
 
-__all__ = ["ZarrSource", "pipeline_v3", "read_cells", "read_chunks", "read_region", "register", "validate_region", "write_cells"]
+__all__ = ["ZarrSource", "read_cells", "read_chunks", "read_region", "register", "validate_region", "write_cells"]
