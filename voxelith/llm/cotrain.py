@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import zlib
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -11,7 +12,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from voxelith.llm.common import byte_buffer, lower_bytes, mix, word_hashes, word_spans
+from voxelith.llm.common import byte_buffer, lower_bytes, word_hashes, word_spans
 
 #: Rows with labels, and without, that fitting sees at most: the bounded sample. All rows are scored.
 LABELLED, UNLABELLED = 6000, 3000
@@ -55,8 +56,6 @@ def meta_view(frame: pd.DataFrame) -> np.ndarray:
 
 
 def hash_text(s: str) -> int:
-    import zlib
-
     return zlib.crc32(s.encode("utf-8", "replace"))
 
 
