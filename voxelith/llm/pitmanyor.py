@@ -18,7 +18,7 @@ from voxelith.llm.blocks import bucket_bounds, layout, pack_keys, unpack_keys
 from voxelith.llm.common import byte_buffer, lower_bytes, mix, pack, unpack, word_hashes, word_spans
 
 #: Discount and strength of the contexts' restaurants and of their parent's.
-DISCOUNT, STRENGTH, ROOT_DISCOUNT, ROOT_STRENGTH = 0.8, 20.0, 0.5, 1.0
+DISCOUNT, STRENGTH, ROOT_DISCOUNT, ROOT_STRENGTH = 0.8, 1.0, 0.7, 1.0
 #: Sweeps over the seating, of which the first are not averaged.
 SWEEPS, BURN_IN = 6, 2
 #: Customers of a dish that are seated singly; beyond, an eighth of those seated so far at a time.
