@@ -187,6 +187,8 @@ def test_pieces_like_brute_force():
 
     for c in ("▁the", "▁thereof", "▁über一x", "▁▁▁ab", "\n", "▁attioning"):
         assert [s for s, _ in p.nbest(c, 6)] == all_ways(c)[:6]
+        two = p.best_two(c)
+        assert [two[0], two[0] - two[2]] == (all_ways(c) + [-float("inf")])[:2] and two[1] in [ids for s, ids in p.nbest(c, 6) if s == two[0]]
     for text in ("there of", "a b\nthe x", "in on"):
         whole = pieces.SPACE + text.replace(" ", pieces.SPACE)
         assert [s for s, _ in p.encode(text, 5)] == all_ways(whole)[:5]

@@ -8,6 +8,7 @@ from collections.abc import Iterator
 from dataclasses import dataclass, field
 from itertools import chain, count
 
+import ahocorasick
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -15,8 +16,8 @@ from pyspark.sql import functions as F
 
 SPACE = "▁"
 MARK = "\ud800"  # stands for a SPACE of the text itself; no valid text holds it
-#: Texts that are worked on at once, and chunks that a worker remembers before it starts afresh.
-ROWS, REMEMBERED = 512, 250_000
+#: Texts that are worked on at once, and chunks that a worker remembers, twice over: those since the last turn and those before.
+ROWS, REMEMBERED = 512, 400_000
 
 
 @dataclass
@@ -30,6 +31,15 @@ class Pieces:
     byte_score: float
     pattern: str
     memory: dict = field(default_factory=dict, repr=False)
+    older: dict = field(default_factory=dict, repr=False)
+    matcher: ahocorasick.Automaton | None = field(default=None, repr=False)
+
+    def __post_init__(self):
+        self.letters = {p for p in self.scores if len(p) == 1}
+
+    def __getstate__(self) -> dict:
+        """Travels without what a worker makes for itself."""
+        return self.__dict__ | {"memory": {}, "older": {}, "matcher": None}
 
     @classmethod
     def load(cls, path: str) -> Pieces:
@@ -102,14 +112,11 @@ class Pieces:
 
     def encode(self, text: str, n: int = 1) -> list[tuple[float, list[int]]]:
         """The n best segmentations of a text: (score, ids), best first. An empty text has one, of no ids."""
-        if len(self.memory) > REMEMBERED:
-            self.memory.clear()
-        memory, found = self.memory, []
+        memory, found = {}, []
         for c in self.chunks(text):
-            key = c if n == 2 else (c, n)
-            if (e := memory.get(key)) is None:
-                e = memory[key] = self.nbest(c, n)
-            found.append(e)
+            if c not in memory:
+                memory[c] = self.nbest(c, n)
+            found.append(memory[c])
         best = (sum([e[0][0] for e in found]), list(chain.from_iterable([e[0][1] for e in found])))
         if n == 1:
             return [best]
@@ -124,15 +131,60 @@ class Pieces:
             out.append((best[0] - x, list(chain.from_iterable([e[d.get(k, 0)][1] for k, e in enumerate(found)]))))
         return out
 
+    def best_two(self, chunk: str) -> tuple[float, tuple[int, ...], float]:
+        """The best segmentation's score and ids, and what the second best loses to it.
+
+        nbest for two, without its heap: as the heuristic is exact, A* finishes second the
+        hypothesis that leaves the best path once, where leaving costs least, so that only the
+        states of that path need to be opened.
+        """
+        if self.matcher is None:
+            self.matcher = ahocorasick.Automaton()
+            for piece, (i, score) in self.scores.items():
+                self.matcher.add_word(piece, (len(piece), score, i))
+            self.matcher.make_automaton()
+        size, none = len(chunk), -float("inf")
+        forward, back = [none] * (size + 1), [None] * (size + 1)
+        forward[0] = 0.0
+        into: list[list] = [[] for _ in range(size + 1)]
+        if not self.letters.issuperset(chunk):  # characters that are no piece are steps of their bytes
+            for j, c in enumerate(chunk, 1):
+                if c not in self.letters:
+                    raw = (SPACE if c == MARK else c).encode()
+                    into[j].append((1, self.byte_score * len(raw), tuple(self.bytes_[b] for b in raw)))
+            for end, edge in self.matcher.iter(chunk):
+                into[end + 1].append(edge)
+            for j in range(1, size + 1):
+                for edge in into[j]:
+                    if (s := forward[j - edge[0]] + edge[1]) > forward[j]:
+                        forward[j], back[j] = s, edge
+        else:
+            for end, edge in self.matcher.iter(chunk):
+                j = end + 1
+                into[j].append(edge)
+                if (s := forward[j - edge[0]] + edge[1]) > forward[j]:
+                    forward[j], back[j] = s, edge
+        ids, loss, j = [], -none, size
+        while j:
+            taken, best = back[j], forward[j]
+            for edge in into[j]:
+                if edge is not taken and (x := best - forward[j - edge[0]] - edge[1]) < loss:
+                    loss = x
+            ids.append(taken[2])
+            j -= taken[0]
+        ids.reverse()
+        if self.letters.issuperset(chunk):
+            return forward[size], tuple(ids), loss
+        return forward[size], tuple(x for i in ids for x in (i if isinstance(i, tuple) else (i,))), loss
+
     def second(self, text: str) -> tuple[float, list[int], float | None]:
-        """The best segmentation's score and ids, and the second best's score."""
+        """The best segmentation's score and ids, and the second best's score, None if there is no other."""
         if len(self.memory) > REMEMBERED:
-            self.memory.clear()
-        memory, chunks = self.memory, self.chunks(text)
+            self.older, self.memory = self.memory, {}
+        memory, older, chunks = self.memory, self.older, self.chunks(text)
         for c in chunks:
             if c not in memory:
-                e = self.nbest(c, 2)
-                memory[c] = (e[0][0], e[0][1], e[0][0] - e[1][0] if len(e) > 1 else float("inf"))
+                memory[c] = older.get(c) or self.best_two(c)
         found = [memory[c] for c in chunks]
         score = sum([e[0] for e in found])
         loss = min([e[2] for e in found], default=float("inf"))
