@@ -104,11 +104,10 @@ def with_next(docs: DataFrame, columns: list[str]) -> DataFrame:
     here = place(F.col("__r"), F.lit(False), F.lit(False))
     there = place(F.get(range_before, F.col("__r")), F.lit(True), F.col("__r") == wraps)
     sent = own.withColumn("__p", F.explode(F.when(F.col("__did") == F.get(first_of, F.col("__r")), F.array(here, there)).otherwise(F.array(here))))
-    order = Window.partitionBy("__p.r").orderBy("__p.late", "__did", "text", "__p.ghost")
-    out = sent
-    for c in columns:
-        out = out.withColumn(f"next_{c}", F.lead(c).over(order))
-    return out.where(~F.col("__p.ghost")).drop("__did", "__r", "__p")
+    flat = sent.select(*[F.col(c) for c in docs.columns], F.col("__did"), F.col("__p.r").alias("__in"), F.col("__p.ghost").alias("__ghost"), F.col("__p.late").alias("__late"))
+    order = Window.partitionBy("__in").orderBy("__late", "__did", "text", "__ghost")
+    following = [F.lead(c).over(order).alias(f"next_{c}") for c in columns]
+    return flat.select("*", *following).where(~F.col("__ghost")).select(*[F.col(c) for c in docs.columns], *[f"next_{c}" for c in columns])
 
 
 def edited_pairs(docs: DataFrame) -> DataFrame:
