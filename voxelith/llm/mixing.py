@@ -12,8 +12,8 @@ from pyspark.sql import functions as F
 from voxelith.llm.common import checkpointed, words
 
 NEWTON_STEPS = 64
-#: Equal-sized documents of a hot source and size are dealt to groups of about so many, at most so many groups.
-GROUP = 4096
+#: Equal-sized documents of a hot source and size are dealt to groups of about so many, at most 4096 groups.
+GROUP = 512
 #: Only a (source, size) with over 1/HOT of all rows is split, so there are fewer than HOT of those.
 HOT = 1000
 
@@ -90,7 +90,7 @@ def mix_plan(docs: DataFrame, weights: tuple[int, ...] = (1, 2, 3), max_copies:
     plan = _source_plan(hist, weights, max_copies)
     same = ["sn", "sk", "size", "salt"]
     least = max(GROUP, rows.count() // HOT)
-    groups = F.least(F.lit(GROUP), F.ceil(F.col("n") / GROUP)).cast("int")
+    groups = F.least(F.lit(4096), F.ceil(F.col("n") / GROUP)).cast("int")
     hot = hist.where(F.col("n") > least).select("sn", "sk", "size", groups.alias("groups"))
     salted = rows.join(F.broadcast(hot), ["sn", "sk", "size"], "left").withColumn("salt", F.pmod(F.col("k1"), F.coalesce("groups", F.lit(1))).cast("int")).drop("groups")
     rates = plan.select("sn", "sk", F.floor("rate").alias("whole"), (F.col("rate") - F.floor("rate")).alias("part"))
