@@ -13,14 +13,14 @@ from voxelith.llm.lines import dedup_lines
 from voxelith.llm.mixing import mix_documents
 from voxelith.llm.nearcopies import drop_near_copies
 from voxelith.llm.pieces import encode
-from voxelith.llm.quality import quality_rules
+from voxelith.llm.quality import keep_quality
 
 PIECES_MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that pass the rules."""
-    return quality_rules(docs.select("doc_id", "text", "lang", "source", "n_chars")).where("kept").select("doc_id", "text", "lang", "source", "n_chars")
+    return keep_quality(docs.select("doc_id", "text", "lang", "source", "n_chars"))
 
 
 def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -89,3 +89,13 @@ def quality_rules(docs: DataFrame, rules: dict = RULES, min_words: int = 50, max
         .withColumn("failed_rules", F.array_compact(names))
         .withColumn("kept", ~F.col("base_failed") & (F.size("failed_rules") == 0))
     )
+
+
+def keep_quality(docs: DataFrame, **given) -> DataFrame:
+    """The rows of docs that quality_rules keeps, with docs' own columns.
+
+    The row number is there for the optimizer: it doesn't move a filter below a projection
+    with one, and so doesn't copy the counts into the filter once for each rule.
+    """
+    kept = quality_rules(docs, **given).select("*", F.monotonically_increasing_id().alias("__n")).where(F.col("kept") & (F.col("__n") >= 0))
+    return kept.select(*[F.col(c) for c in docs.columns])
