@@ -166,6 +166,30 @@ def test_near_copies(docs, sample, spark, table):
     assert all(len({rows[k] for k in g} & set(ids)) >= 1 for g in some)  # nothing unlike is lost
 
 
+def test_near_copies_of_less_than_the_similarity_stay(spark):
+    """Groups and lost rows are those of the exact similarity, also for pairs just under it."""
+    rng, rows = np.random.default_rng(5), []
+    for g in range(24):
+        w = [f"g{g}w{k}" for k in rng.integers(0, 10**9, 300)]
+        rows.append(" ".join(w))
+        for at in rng.choice(59, 4 + g // 2, replace=False):  # one word for each, five shingles lost
+            w[5 * at + 4] = f"other{at}"
+        rows.append(" ".join(w))
+    sets = [{tuple(w[k : k + 5]) for k in range(len(w) - 4)} for w in map(str.split, rows)]
+    like = lambda a, b: len(sets[a] & sets[b]) / len(sets[a] | sets[b])
+    assert sum(0.7 <= like(2 * g, 2 * g + 1) < 0.8 for g in range(24)) >= 6
+    got = {r.doc_id: r.component_id for r in nearcopies.near_copies(spark.createDataFrame(list(enumerate(rows)), "doc_id bigint, text string")).collect()}
+    assert got == {k: min(g) for g in brute.groups(len(rows), lambda a, b: like(a, b) >= 0.8) for k in g}
+
+
+@given(st.lists(st.sets(st.integers(0, 14), min_size=1), min_size=2, max_size=30), st.sampled_from([0.5, 0.75, 0.8, 1.0]))
+@settings(max_examples=100, deadline=None)
+def test_confirmed_like_brute_force(sets, similarity):
+    root = dict(zip(*nearcopies.confirmed(list(range(len(sets))), [np.array(sorted(x), np.uint64) for x in sets], similarity), strict=True))
+    got = {frozenset(k for k in range(len(sets)) if root.get(k, k) == r) for r in {root.get(k, k) for k in range(len(sets))}}
+    assert got == {frozenset(g) for g in brute.groups(len(sets), lambda a, b: len(sets[a] & sets[b]) / len(sets[a] | sets[b]) >= similarity)}
+
+
 def test_pieces_like_brute_force():
     p = pieces.Pieces.load(queries.PIECES_MODEL)
 

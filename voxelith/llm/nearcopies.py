@@ -1,4 +1,5 @@
-"""SimHash near-dedup at a set similarity: wide fingerprints, compared bit-sliced within blocks that share least shingles."""
+"""SimHash near-dedup at a set similarity: wide fingerprints, compared bit-sliced within blocks that share least shingles, and
+the similarity itself among the candidates so found."""
 
 from __future__ import annotations
 
@@ -106,12 +107,67 @@ def _scan(batches: Iterator[pa.RecordBatch], radius: int) -> Iterator[pa.RecordB
         yield linked(*held)
 
 
+def confirmed(ids: list[int], sets: list[np.ndarray], similarity: float) -> tuple[list[int], list[int]]:
+    """Links (member, root) that join the components of texts whose shingle sets have that Jaccard similarity or more.
+
+    Every member meets those not yet in any component whose sizes allow the similarity.
+    """
+    size = np.array([len(x) for x in sets])
+    order = np.argsort(size, kind="stable")
+    size, node = size[order], np.array(ids, np.int64)[order]
+    codes = np.unique(np.concatenate([sets[k] for k in order]), return_inverse=True)[1]
+    mark = np.zeros(int(codes.max()) + 1, bool)
+    left, right = [], []
+    while len(node) > 1:
+        root, queue = int(node[0]), [codes[: size[0]]]
+        codes, node, size = codes[size[0] :], node[1:], size[1:]
+        at = np.concatenate([[0], np.cumsum(size)])
+        while queue and len(node):
+            q = queue.pop()
+            a, b = np.searchsorted(size, [similarity * len(q) - 1, len(q) / similarity + 1])
+            if a == b:
+                continue
+            mark[q] = True
+            common = np.add.reduceat(mark[codes[at[a] : at[b]]], at[a:b] - at[a], dtype=np.int64)
+            mark[q] = False
+            hit = np.zeros(len(node), bool)
+            hit[a:b] = common / (size[a:b] + len(q) - common) >= similarity
+            if hit.any():
+                left += node[hit].tolist()
+                right += [root] * int(hit.sum())
+                queue += [codes[at[k] : at[k + 1]] for k in np.flatnonzero(hit)]
+                codes, node, size = codes[np.repeat(~hit, size)], node[~hit], size[~hit]
+                at = np.concatenate([[0], np.cumsum(size)])
+    return left, right
+
+
+def _confirm(batches: Iterator[pa.RecordBatch], size: int, similarity: float) -> Iterator[pa.RecordBatch]:
+    """Links (node, root) of a partition of candidates in order of group and node; a node may come more than once."""
+    group, ids, sets = None, [], []
+
+    def linked() -> pa.RecordBatch:
+        a, b = confirmed(ids, sets, similarity) if len(ids) > 1 else ([], [])
+        return pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], ["node", "root"])
+
+    for batch in batches:
+        raw, at = byte_buffer(batch.column("text"))
+        for k, (g, i) in enumerate(zip(batch.column("group").to_pylist(), batch.column("node").to_pylist(), strict=True)):
+            if g != group:
+                yield linked()
+                group, ids, sets = g, [], []
+            if not ids or ids[-1] != i:
+                ids.append(i)
+                sets.append(_shingles(lower_bytes(raw[at[k] : at[k + 1]]).tobytes().split(), size))
+    yield linked()
+
+
 def near_copies(docs: DataFrame, size: int = 5, similarity: float = 0.8) -> DataFrame:
     """(doc_id, tid, component_id, stays) for every row of docs; tid is the hash of its text.
 
-    Fingerprints are SimHashes of ``size``-word shingles, A-Z in lower case. Rows link if theirs
-    are as near as two texts of that Jaccard similarity are likely to be; blocks share a key of
-    least shingle hashes, which texts of 0.8 fail to do once in a thousand times. component_id is the
+    Rows link if their sets of ``size``-word shingles, A-Z in lower case, have that Jaccard
+    similarity or more. Candidates are groups whose SimHashes are as near as such texts' are
+    likely to be; blocks share a key of least shingle hashes, which texts of 0.8 fail to do once
+    in a thousand times. Within a group the sets themselves decide. component_id is the
     smallest doc_id reachable. One row of a group stays: the one with the smallest doc_id, by
     text if ids are equal. Texts of no words are one group. Null ids come first.
     """
@@ -131,7 +187,12 @@ def near_copies(docs: DataFrame, size: int = 5, similarity: float = 0.8) -> Data
     own = rows.groupBy("node").agg(F.min(F.struct("doc_id", "tid")).alias("least"), *[F.first(c).alias(c) for c in limbs], F.first("keys").alias("keys"))
     keyed = own.select("node", *limbs, F.explode("keys").alias("key")).repartition(shuffle_partitions(docs.sparkSession), "key").sortWithinPartitions("key", "node")
     found = components(keyed.mapInArrow(partial(_scan, radius=radius_for(similarity)), "a long, b long").where("a <> b").distinct())
-    rooted = own.select("node", "least").join(found, "node", "left").withColumn("root", F.coalesce("root", "node"))
+    grouped = found.select("node", F.col("root").alias("group")).unionByName(found.select(F.col("root").alias("node"), F.col("root").alias("group"))).distinct()
+    wanted = own.select("node", F.col("least.doc_id").alias("__id"), F.col("least.tid").alias("__tid")).join(grouped, "node")
+    texts = docs.select("doc_id", F.xxhash64("text").alias("tid"), "text").join(wanted, F.col("doc_id").eqNullSafe(F.col("__id")) & (F.col("tid") == F.col("__tid")))
+    dealt = texts.select("group", "node", "text").repartition(shuffle_partitions(docs.sparkSession), "group").sortWithinPartitions("group", "node")
+    sure = dealt.mapInArrow(partial(_confirm, size=size, similarity=similarity), "node long, root long")
+    rooted = own.select("node", "least").join(sure, "node", "left").withColumn("root", F.coalesce("root", "node"))
     named = rooted.groupBy("root").agg(F.min("least").alias("best"), F.min("least.doc_id").alias("component_id"))
     of = rooted.select("node", "root").join(named, "root").select("node", "best", "component_id")
     stays = F.col("doc_id").eqNullSafe(F.col("best.doc_id")) & (F.col("tid") == F.col("best.tid"))
