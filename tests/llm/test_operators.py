@@ -234,6 +234,15 @@ def test_encode(docs, empty):
     assert pieces.encode(empty, queries.PIECES_MODEL).count() == 0
 
 
+def test_encode_gives_n_segmentations(docs):
+    p = pieces.Pieces.load(queries.PIECES_MODEL)
+    for n in (1, 2, 4):
+        for r in pieces.encode(docs, queries.PIECES_MODEL, n).collect():
+            want = pieces.Pieces.encode(p, r.text or "", n)
+            assert [(r.score, r.ids)] + [(o.score, o.ids) for o in r.others] == [(s, list(ids)) for s, ids in want]
+            assert r.second_score == (want[1][0] if len(want) > 1 else None) and all(p.decode(o.ids) == (r.text or "") for o in r.others)
+
+
 def test_syncmers(spark, sample, empty):
     from pyspark.sql import functions as F
 

@@ -19,6 +19,8 @@ MARK = "\ud800"  # stands for a SPACE of the text itself; no valid text holds it
 #: Texts that are worked on at once, and chunks that a worker remembers, twice over: those since the last turn and those before.
 ROWS, REMEMBERED = 512, 400_000
 
+OTHERS = pa.list_(pa.struct([("score", pa.float64()), ("ids", pa.list_(pa.int32()))]))
+
 
 @dataclass
 class Pieces:
@@ -32,6 +34,7 @@ class Pieces:
     pattern: str
     memory: dict = field(default_factory=dict, repr=False)
     older: dict = field(default_factory=dict, repr=False)
+    ways: dict = field(default_factory=dict, repr=False)
     matcher: ahocorasick.Automaton | None = field(default=None, repr=False)
 
     def __post_init__(self):
@@ -39,7 +42,7 @@ class Pieces:
 
     def __getstate__(self) -> dict:
         """Travels without what a worker makes for itself."""
-        return self.__dict__ | {"memory": {}, "older": {}, "matcher": None}
+        return self.__dict__ | {"memory": {}, "older": {}, "ways": {}, "matcher": None}
 
     @classmethod
     def load(cls, path: str) -> Pieces:
@@ -66,20 +69,24 @@ class Pieces:
 
     def edges(self, chunk: str) -> list[list[tuple[int, tuple[int, ...], float]]]:
         """For each end, the pieces that may end there: start, ids, score. A character that is no piece is its bytes."""
-        out: list[list] = [[]]
-        known, longest = self.scores, self.longest
-        for j in range(1, len(chunk) + 1):
-            found = []
-            for i in range(max(0, j - longest), j):
-                if p := known.get(chunk[i:j]):
-                    found.append((i, (p[0],), p[1]))
-            c = chunk[j - 1]
-            if c not in known:
-                raw = (SPACE if c == MARK else c).encode()
-                found.append((j - 1, tuple(self.bytes_[b] for b in raw), self.byte_score * len(raw)))
-            out.append(found)
+        out: list[list] = [[] for _ in range(len(chunk) + 1)]
+        for end, (length, score, i) in self.automaton().iter(chunk):
+            out[end + 1].append((end + 1 - length, (i,), score))
+        if not self.letters.issuperset(chunk):
+            for j, c in enumerate(chunk, 1):
+                if c not in self.letters:
+                    raw = (SPACE if c == MARK else c).encode()
+                    out[j].append((j - 1, tuple(self.bytes_[b] for b in raw), self.byte_score * len(raw)))
         return out
 
+    def automaton(self) -> ahocorasick.Automaton:
+        if self.matcher is None:
+            self.matcher = ahocorasick.Automaton()
+            for piece, (i, score) in self.scores.items():
+                self.matcher.add_word(piece, (len(piece), score, i))
+            self.matcher.make_automaton()
+        return self.matcher
+
     def nbest(self, chunk: str, n: int) -> list[tuple[float, tuple[int, ...]]]:
         """The n best segmentations with their scores, best first; fewer if there are fewer.
 
@@ -112,10 +119,14 @@ class Pieces:
 
     def encode(self, text: str, n: int = 1) -> list[tuple[float, list[int]]]:
         """The n best segmentations of a text: (score, ids), best first. An empty text has one, of no ids."""
-        memory, found = {}, []
+        memory, older = self.ways.get(n, ({}, {}))
+        if len(memory) * n > REMEMBERED:
+            memory, older = {}, memory
+        self.ways[n] = memory, older
+        found = []
         for c in self.chunks(text):
             if c not in memory:
-                memory[c] = self.nbest(c, n)
+                memory[c] = older.get(c) or self.nbest(c, n)
             found.append(memory[c])
         best = (sum([e[0][0] for e in found]), list(chain.from_iterable([e[0][1] for e in found])))
         if n == 1:
@@ -138,11 +149,7 @@ class Pieces:
         hypothesis that leaves the best path once, where leaving costs least, so that only the
         states of that path need to be opened.
         """
-        if self.matcher is None:
-            self.matcher = ahocorasick.Automaton()
-            for piece, (i, score) in self.scores.items():
-                self.matcher.add_word(piece, (len(piece), score, i))
-            self.matcher.make_automaton()
+        matcher = self.automaton()
         size, none = len(chunk), -float("inf")
         forward, back = [none] * (size + 1), [None] * (size + 1)
         forward[0] = 0.0
@@ -152,14 +159,14 @@ class Pieces:
                 if c not in self.letters:
                     raw = (SPACE if c == MARK else c).encode()
                     into[j].append((1, self.byte_score * len(raw), tuple(self.bytes_[b] for b in raw)))
-            for end, edge in self.matcher.iter(chunk):
+            for end, edge in matcher.iter(chunk):
                 into[end + 1].append(edge)
             for j in range(1, size + 1):
                 for edge in into[j]:
                     if (s := forward[j - edge[0]] + edge[1]) > forward[j]:
                         forward[j], back[j] = s, edge
         else:
-            for end, edge in self.matcher.iter(chunk):
+            for end, edge in matcher.iter(chunk):
                 j = end + 1
                 into[j].append(edge)
                 if (s := forward[j - edge[0]] + edge[1]) > forward[j]:
@@ -196,15 +203,16 @@ class Pieces:
         return b"".join([table[i] for i in ids])[1:].decode()
 
 
-def encode(docs: DataFrame, model_path: str) -> DataFrame:
-    """Every row of docs with ids array<int>, n_pieces, score, second_score (null if there is no other) and decoded.
+def encode(docs: DataFrame, model_path: str, n: int = 2) -> DataFrame:
+    """Every row of docs with ids array<int>, n_pieces, score, second_score, others and decoded.
 
-    Null text counts as empty: no ids, score 0. The model's scores rank segmentations as a
+    ids and score are the best segmentation's; ``others`` has the next ones up to the n-th, best
+    first, as structs of score and ids; second_score is the first of these, null if there is none. Null text counts as empty: no ids, score 0. The model's scores rank segmentations as a
     unigram lattice; characters without a piece become bytes, so every text comes back exactly
     in ``decoded``. Columns of docs with these names are replaced.
     """
     pieces = Pieces.load(model_path)
-    added = [("ids", "array<int>", pa.list_(pa.int32())), ("n_pieces", "bigint", pa.int64()), ("score", "double", pa.float64()), ("second_score", "double", pa.float64()), ("decoded", "string", pa.string())]
+    added = [("ids", "array<int>", pa.list_(pa.int32())), ("n_pieces", "bigint", pa.int64()), ("score", "double", pa.float64()), ("second_score", "double", pa.float64()), ("others", "array<struct<score:double,ids:array<int>>>", OTHERS), ("decoded", "string", pa.string())]
     own = docs.select(*[F.col(c) for c in docs.columns if c not in {a for a, _, _ in added}])
     schema = ", ".join([f"`{f.name.replace('`', '``')}` {f.dataType.simpleString()}" for f in own.schema] + [f"{a} {t}" for a, t, _ in added])
 
@@ -212,16 +220,22 @@ def encode(docs: DataFrame, model_path: str) -> DataFrame:
         for whole in batches:
             for a in range(0, whole.num_rows, ROWS):
                 batch = whole.slice(a, ROWS)
-                made = [pieces.second(t or "") for t in batch.column("text").to_pylist()]
+                ways = [pieces.encode(t or "", n) for t in batch.column("text").to_pylist()]
+                made = [w[0] for w in ways]
                 ends = np.cumsum([0, *[len(m[1]) for m in made]])
                 flat = np.fromiter(chain.from_iterable([m[1] for m in made]), np.int32, ends[-1])
+                rest = [m for w in ways for m in w[1:]]
+                own_ends = np.cumsum([0, *[len(m[1]) for m in rest]])
+                own_ids = pa.array(np.fromiter(chain.from_iterable([m[1] for m in rest]), np.int32, own_ends[-1]))
+                others = pa.StructArray.from_arrays([pa.array([float(m[0]) for m in rest], pa.float64()), pa.ListArray.from_arrays(pa.array(own_ends, pa.int32()), own_ids)], ["score", "ids"])
                 columns = [
                     pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(flat)),
                     pa.array([len(m[1]) for m in made], pa.int64()),
                     pa.array([float(m[0]) for m in made], pa.float64()),
-                    pa.array([m[2] for m in made], pa.float64()),
+                    pa.array([w[1][0] if len(w) > 1 else None for w in ways], pa.float64()),
+                    pa.ListArray.from_arrays(pa.array(np.cumsum([0, *[len(w) - 1 for w in ways]]), pa.int32()), others),
                     pa.array([pieces.decode(m[1]) for m in made], pa.string()),
                 ]
-                yield pa.RecordBatch.from_arrays([*batch.columns, *columns], [*batch.schema.names, *[n for n, _, _ in added]])
+                yield pa.RecordBatch.from_arrays([*batch.columns, *columns], [*batch.schema.names, *[a for a, _, _ in added]])
 
     return own.mapInArrow(run, schema)
