@@ -260,6 +260,20 @@ def test_syncmers(spark, sample, empty):
     assert syncmers.edited_pairs(twice).count() == 4
 
 
+def test_likeness_of_a_short_and_a_long_text(spark, tmp_path):
+    """Texts on both sides of the limit, and long ones of few words, are as near as their shares in common."""
+    w = " ".join(f"w{k * 7919 % 1000}" for k in range(120))
+    blank = "".join(f"{k * 7919 % 1000:03d}" for k in range(300))
+    rows = [(1, w[:410]), (2, w[:390]), (3, "tiny"), (4, blank), (5, blank[:880])]
+    spark.createDataFrame(rows, "doc_id bigint, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    got = {r.doc_id: r for r in queries.op7_syncmer_fingerprints(spark, str(tmp_path)).collect()}
+    assert got[1].near_next > 0.8 and got[4].near_next > 0.8 and got[2].near_next == got[3].near_next == 0
+    assert got[2].near_edited > 0.4 and got[4].near_edited > 0.4
+    lone = [(1, w[:440]), (2, "x y z")]  # the edited text is shorter than the limit
+    spark.createDataFrame(lone, "doc_id bigint, text string").write.parquet(f"{tmp_path}/lone/documents.parquet")
+    assert queries.op7_syncmer_fingerprints(spark, f"{tmp_path}/lone").where("doc_id = 1").first().near_edited > 0.5
+
+
 def test_syncmers_select_by_their_own_words_only(spark):
     from pyspark.sql import functions as F
 

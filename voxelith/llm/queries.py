@@ -14,7 +14,7 @@ from voxelith.llm.pieces import encode
 from voxelith.llm.quality import RULES, STOP_WORDS, quality_rules
 from voxelith.llm.simhash import near_duplicates
 from voxelith.llm.substring import dedup_substrings
-from voxelith.llm.syncmers import edited_pairs, fingerprint, likeness, sketch
+from voxelith.llm.syncmers import edited_pairs, fingerprint, sketch, text_likeness
 
 #: A public SentencePiece model; read on the driver only.
 PIECES_MODEL = "/opt/tokenizers/piece_bpe_32k.model"
@@ -119,8 +119,8 @@ def op7_syncmer_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.sha2("edited", 256).alias("edited_sha256"),
         fingerprint(F.col("made")).alias("fingerprint"),
         fingerprint(F.col("edited_made")).alias("edited_fingerprint"),
-        likeness(F.col("made"), F.col("edited_made")).alias("near_edited"),
-        likeness(F.col("made"), F.col("next_made")).alias("near_next"),
+        text_likeness(F.col("text"), F.col("made"), F.col("edited"), F.col("edited_made")).alias("near_edited"),
+        text_likeness(F.col("text"), F.col("made"), F.col("next_text"), F.col("next_made")).alias("near_next"),
     )
 
 

@@ -11,8 +11,8 @@ from voxelith.llm.common import let, shuffle_partitions, words
 
 #: Words of an anchor, words of its inner substrings, anchors that a fingerprint keeps, bits of an anchor.
 K, S, SKETCH, ANCHOR_BITS = 4, 2, 64, 32
-#: Texts of fewer code points take characters for words: characters of an anchor and of its inner substrings.
-SHORT, SHORT_K, SHORT_S = 400, 8, 3
+#: Texts of fewer code points or fewer words take characters for words: characters of an anchor and of its inner substrings.
+SHORT, FEW, SHORT_K, SHORT_S = 400, 50, 8, 3
 FIRST_ID = -(1 << 63)
 
 
@@ -33,10 +33,16 @@ def _selected(w: Column, k: int, s: int, made: Callable[[Column, Column], Column
     return let(grams, pick)
 
 
-def _units(text: Column, body: Callable[[Column, int, int], Column]) -> Column:
-    """``body(units, k, s)`` over a text's words, or its characters if it is short."""
+def by_characters(text: Column) -> Column:
+    """Whether a text's anchors are of characters: it is short or has few words."""
+    text = F.coalesce(text, F.lit(""))
+    return (F.char_length(text) < SHORT) | (F.size(words(text)) < FEW)
+
+
+def _units(text: Column, body: Callable[[Column, int, int], Column], short: Column | None = None) -> Column:
+    """``body(units, k, s)`` over a text's characters if ``short``, by default as by_characters() says, else its words."""
+    short = by_characters(text) if short is None else short
     text = F.coalesce(text, F.lit(""))
-    short = F.char_length(text) < SHORT
     return F.when(short, let(F.array_remove(F.split(text, ""), ""), lambda w: body(w, SHORT_K, SHORT_S))).otherwise(let(words(text), lambda w: body(w, K, S)))
 
 
@@ -46,12 +52,13 @@ def anchors(text: Column) -> Column:
     return F.coalesce(chosen, F.array().cast("array<struct<start:int,hash:bigint>>"))
 
 
-def sketch(text: Column, size: int = SKETCH) -> Column:
+def sketch(text: Column, size: int = SKETCH, short: Column | None = None) -> Column:
     """The ``size`` least distinct anchor hashes of the whole text, ascending.
 
     A text without anchors, such as one shorter than an anchor, has one: the hash of all its
     words or characters. Null and empty texts, and long blank ones, have an empty sketch.
-    Equal texts give equal sketches.
+    Equal texts give equal sketches. Only sketches of one kind can be compared; ``short`` asks
+    for the kind of characters, by default as by_characters() says.
     """
 
     def of(w: Column, k: int, s: int) -> Column:
@@ -59,7 +66,7 @@ def sketch(text: Column, size: int = SKETCH) -> Column:
         chosen = let(_selected(w, k, s, lambda _, h: h), lambda a: F.when(F.size(a) > 0, F.slice(F.sort_array(F.array_distinct(a)), 1, size)))
         return F.when(F.size(w) == 0, F.array().cast("array<bigint>")).otherwise(F.coalesce(chosen, F.array(whole)))
 
-    return _units(text, of)
+    return _units(text, of, short)
 
 
 def fingerprint(made: Column) -> Column:
@@ -74,6 +81,14 @@ def likeness(a: Column, b: Column, size: int = SKETCH) -> Column:
     return F.when((F.size(a) == 0) & (F.size(b) == 0), F.lit(1.0)).when((F.size(a) == 0) | (F.size(b) == 0), F.lit(0.0)).otherwise(shared.cast("double"))
 
 
+def text_likeness(a: Column, a_made: Column, b: Column, b_made: Column) -> Column:
+    """likeness() of two texts with their sketches; where only one text is of the kind of characters, the other is sketched so too."""
+    a_short, b_short = by_characters(a), by_characters(b)
+    mine = F.when(b_short & ~a_short, sketch(a, short=F.lit(True))).otherwise(a_made)
+    other = F.when(a_short & ~b_short, sketch(b, short=F.lit(True))).otherwise(b_made)
+    return let(F.struct(mine.alias("a"), other.alias("b")), lambda m: likeness(m["a"], m["b"]))
+
+
 def with_next(docs: DataFrame, columns: list[str]) -> DataFrame:
     """Rows of docs with ``next_<column>`` of the row that follows by (doc_id, text); the first follows the last.
 
@@ -111,7 +126,7 @@ def with_next(docs: DataFrame, columns: list[str]) -> DataFrame:
 
 
 def edited_pairs(docs: DataFrame) -> DataFrame:
-    """(doc_id, text, made, next_made, edited) for every row; null text counts as empty.
+    """(doc_id, text, made, next_text, next_made, edited) for every row; null text counts as empty.
 
     ``edited`` is the text with its last quarter of code points, rounded down, replaced by as
     many from the start of the next row's text, or all of that; ``made`` are sketches.
@@ -120,4 +135,4 @@ def edited_pairs(docs: DataFrame) -> DataFrame:
     n = F.char_length("text")
     cut = F.floor(n / 4).cast("int")
     edited = F.concat(F.substring("text", F.lit(1), n - cut), F.substring("next_text", F.lit(1), cut))
-    return with_next(rows, ["text", "made"]).withColumn("edited", edited).drop("next_text")
+    return with_next(rows, ["text", "made"]).withColumn("edited", edited)
