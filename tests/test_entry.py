@@ -24,3 +24,11 @@ def test_like_sql(spark, name):
     got = engine.QUERIES[name](spark, SF).toPandas()[list(want.columns)]
     order = list(want.columns)
     assert got.sort_values(order, ignore_index=True).astype(float).equals(want.sort_values(order, ignore_index=True).astype(float))
+
+
+def test_colour_of_the_whole_image(spark):
+    db = duckdb.connect()
+    db.execute(f"CREATE VIEW embeddings AS SELECT * FROM '{SF}/embeddings.parquet'")
+    want = {(y, x): (tuple(a), tuple(b)) for y, x, a, b in db.execute(engine.ORACLE_SQL["X7_X8_colour_image"]).fetchall()}
+    got = {(r.y, r.x): (tuple(r.bgr), tuple(r.bgra)) for r in engine.QUERIES["X7_X8_colour_image"](spark, SF).collect()}
+    assert got == want and len(got) == 64 * db.execute("SELECT count(*) FROM embeddings").fetchone()[0]

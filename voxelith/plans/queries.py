@@ -191,6 +191,13 @@ def X7_X8_colour(spark: SparkSession, sf_dir: str) -> DataFrame:
     return view.cells.select("y", "x", bgr24(F.col("value"), view.dtype).alias("bgr"), bgra32(F.col("value"), view.dtype).alias("bgra"))
 
 
+@query(f"SELECT y, x, [g, g, g] AS bgr, [g, g, g, 255] AS bgra FROM (SELECT y, x, {_G8} AS g FROM {_EMB})")
+def X7_X8_colour_image(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """X7_X8_colour over the whole image."""
+    view = embeddings(spark, sf_dir)
+    return view.cells.select("y", "x", bgr24(F.col("value"), view.dtype).alias("bgr"), bgra32(F.col("value"), view.dtype).alias("bgra"))
+
+
 @query(f"SELECT min(value) AS min_v, max(value) AS max_v, round(avg(CAST(value AS DOUBLE)), 4) + 0.0 AS mean_v, count(*) AS n FROM {_EMB}")
 def E1_plane_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
     return A.stats(embeddings(spark, sf_dir)).select("min_v", "max_v", _rounded("mean_v", "mean_v"), "n")
