@@ -43,15 +43,34 @@ def text_bytes(df: DataFrame, column: str = "text") -> int:
     return (df.agg(F.sum(F.octet_length(column))).first()[0] or 0) // 2
 
 
+def shared_folder(spark: SparkSession) -> str:
+    """The folder of spark.checkpoint.dir, which all executors see. Where it is unset, a local session gets a temporary one; a cluster has none to guess."""
+    if where := spark.conf.get("spark.checkpoint.dir", None):
+        return where
+    if not spark.sparkContext.master.startswith("local"):
+        raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+    return tempfile.mkdtemp(prefix="voxelith-")
+
+
 def checkpointed(df: DataFrame) -> DataFrame:
-    """Cuts the lineage in the shared folder of spark.checkpoint.dir; only where that is unset, in a new one."""
+    """Cuts the lineage in the shared folder."""
     sc = df.sparkSession.sparkContext
     if sc.getCheckpointDir() is None:
-        where = df.sparkSession.conf.get("spark.checkpoint.dir", None)
-        sc.setCheckpointDir(where or tempfile.mkdtemp(prefix="voxelith-checkpoint-"))
+        sc.setCheckpointDir(shared_folder(df.sparkSession))
     return df.checkpoint()
 
 
+def unused(df: DataFrame, *names: str) -> list[str]:
+    """The names, each with as many underscores put in front as keep it apart from df's columns."""
+    taken, out = {c.lower() for c in df.columns}, []
+    for name in names:
+        while name.lower() in taken:
+            name = "_" + name
+        taken.add(name.lower())
+        out.append(name)
+    return out
+
+
 def pack(a: np.ndarray) -> bytes:
     """An array of integers or floats as bytes: byte planes, compressed."""
     a = np.ascontiguousarray(a)
