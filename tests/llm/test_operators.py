@@ -408,25 +408,98 @@ def test_classifier(spark, empty):
     assert cotrain.classify(empty, none, targets=("quality",)).count() == 0
 
 
-def test_seating():
-    rng = np.random.default_rng(1)
-    counts = np.array([1, 1, 5, 200, 100_000])
-    tables, of_context = pitmanyor.seat(counts, np.array([0.2, 0.2, 0.2, 0.2, 0.2]), np.array([0, 0, 0, 1, 1]), np.array([1, 1]), 0.5, 1.0, rng)
-    assert (tables[:2] == 1).all() and (tables >= 1).all() and (tables <= counts).all()
-    assert of_context.tolist() == pytest.approx([tables[:3].sum(), tables[3:].sum()])
-
-
-def test_seating_like_one_by_one():
-    """Average tables of a dish alone in its restaurant, against plain sequential seating."""
-    rng, runs = np.random.default_rng(2), []
-    for _ in range(600):
-        t = 1
-        for n in range(1, 40):
-            new = (1.0 + 0.8 * t) * 0.3
-            t += rng.random() < new / (new + n - 0.8 * t)
-        runs.append(t)
-    got = [pitmanyor.seat(np.array([40]), np.array([0.3]), np.array([0]), np.array([1]), 0.8, 1.0, rng, 2, 1)[0][0] for _ in range(600)]
-    assert np.mean(got) == pytest.approx(np.mean(runs), rel=0.1)
+def stirlings(c, d):
+    """Generalised Stirling numbers S(c, 0..c) by their recursion."""
+    row = [0.0, 1.0]
+    for n in range(1, c):
+        row = [0.0, *[row[t - 1] + (n - d * t) * (row[t] if t < len(row) else 0.0) for t in range(1, n + 2)]]
+    return row
+
+
+def rising(x, step, n):
+    return math.prod(x + k * step for k in range(n))
+
+
+@pytest.mark.parametrize("dishes", [[(3, 0.1)], [(10, 0.1)], [(40, 0.1)], [(40, 0.01)], [(3, 0.3), (7, 0.2)], [(1, 0.2), (2, 0.2), (12, 0.6)]])
+def test_seating_by_its_posterior(dishes):
+    """Average tables of a restaurant's dishes against their exact posterior, over many restaurants alike."""
+    d, strength, copies = 0.8, 1.0, 4000
+    total, mean = 0.0, np.zeros(len(dishes))
+    for ways in np.ndindex(*[c for c, _ in dishes]):
+        t = [k + 1 for k in ways]
+        p = rising(strength, d, sum(t)) * math.prod(stirlings(c, d)[k] * h**k for k, (c, h) in zip(t, dishes, strict=True))
+        total, mean = total + p, mean + p * np.array(t)
+    counts, base = (np.tile(x, copies) for x in zip(*dishes, strict=True))
+    runs = list(pitmanyor.seat(counts, base, np.repeat(np.arange(copies), len(dishes)), d, strength, 5, 16))[4:]
+    assert np.mean(runs, axis=0).reshape(copies, -1).mean(axis=0) == pytest.approx(mean / total, rel=0.02)
+
+
+def test_seating_of_many_customers():
+    """Beyond the table of Stirling numbers, against the numbers themselves."""
+    small, large = pitmanyor.Stirling(0.8, 200), pitmanyor.Stirling(0.8, 1500)
+    for c, rate in ((300, 0.5), (1500, 8.0), (1500, 90.0)):
+        t, w = np.arange(1, c + 1), large.log[c, 1 : c + 1] + np.arange(1, c + 1) * np.log(0.8 * rate)
+        w = np.exp(w - w.max())
+        v = small.weights(c, rate)
+        v = np.exp(v - v.max())
+        assert (v * np.arange(1, len(v) + 1)).sum() / v.sum() == pytest.approx((w * t).sum() / w.sum(), rel=0.005)
+        drawn = small.draw(np.full(4000, c), np.full(4000, rate), np.random.default_rng(1).random(4000))
+        assert drawn.mean() == pytest.approx((w * t).sum() / w.sum(), rel=0.02)
+
+
+@pytest.mark.parametrize("shape", [0.3, 1.0, 7.5, 1e4])
+def test_gamma(shape):
+    x = pitmanyor.gamma(np.full(40_000, shape), np.arange(40_000, dtype=np.uint64), 3)
+    assert x.mean() == pytest.approx(shape, rel=0.02) and x.var() == pytest.approx(shape, rel=0.05)
+
+
+def test_lm_by_its_posterior(spark):
+    """Scores of a tiny corpus, averaged over seeds, against predictive probabilities summed over all seatings."""
+    train, d, d0 = ["a b", "a b", "a c", "b"], pitmanyor.DISCOUNT, pitmanyor.ROOT_DISCOUNT
+    ids = [k for k in range(100) if pitmanyor.is_training(k)][: len(train)]
+    other = [k for k in range(100) if not pitmanyor.is_training(k)][:2]
+    tests = ["a b", "c z"]
+    tokens = lambda t: list(zip(["<", *t.split()], [*t.split(), ">"], strict=True))
+    c = Counter(x for t in train for x in tokens(t))
+    context, known, vocabulary = Counter(), sorted({w for _, w in c}), len({w for _, w in c})
+    for (u, _), n in c.items():
+        context[u] += n
+    pairs = sorted(c)
+    total, p = 0.0, defaultdict(float)
+    asked = {x for t in tests for x in tokens(t)}
+    for ways in np.ndindex(*[c[x] for x in pairs]):
+        t = {x: k + 1 for x, k in zip(pairs, ways, strict=True)}
+        at, up = Counter(), Counter()
+        for (u, w), k in t.items():
+            at[u] += k
+            up[w] += k
+        one = math.prod(rising(pitmanyor.STRENGTH, d, n) for n in at.values()) * math.prod(stirlings(c[x], d)[t[x]] for x in pairs)
+        for roots in np.ndindex(*[up[w] for w in known]):
+            r = {w: k + 1 for w, k in zip(known, roots, strict=True)}
+            n0, t0 = sum(up.values()), sum(r.values())
+            both = one * rising(pitmanyor.ROOT_STRENGTH, d0, t0) / rising(pitmanyor.ROOT_STRENGTH, 1, n0) * math.prod(stirlings(up[w], d0)[r[w]] for w in known) / (vocabulary + 1) ** t0
+            total += both
+            for u, w in asked:
+                h = ((up[w] - d0 * r[w] if w in r else 0) + (pitmanyor.ROOT_STRENGTH + d0 * t0) / (vocabulary + 1)) / (pitmanyor.ROOT_STRENGTH + n0)
+                p[u, w] += both * ((c[u, w] - d * t.get((u, w), 0) + (pitmanyor.STRENGTH + d * at[u]) * h) / (pitmanyor.STRENGTH + context[u]) if context[u] else h)
+    df = spark.createDataFrame([*zip(ids, train, strict=True), *zip(other, tests, strict=True)], "doc_id bigint, text string")
+    got = defaultdict(list)
+    for seed in range(8):
+        for r in pitmanyor.score(df, rounds=3, samples=8, seed=seed).where("held_out").collect():
+            got[r.doc_id].append(10**r.score)
+    for i, t in zip(other, tests, strict=True):
+        assert math.log10(np.mean(got[i])) == pytest.approx(sum(math.log10(p[x] / total) for x in tokens(t)), abs=0.06)
+
+
+def test_lm_whatever_the_blocks(spark, sample, monkeypatch):
+    """Scores don't depend on blocks, buckets and partitions."""
+    from voxelith.llm import blocks
+
+    df = spark.createDataFrame(sample[["doc_id", "text"]])
+    want = {r.doc_id: r.score for r in pitmanyor.score(df).collect()}
+    monkeypatch.setattr(blocks, "LEAST_BYTES", 1 << 15)
+    monkeypatch.setattr(blocks, "RUN_KEYS", 50)
+    assert {r.doc_id: r.score for r in pitmanyor.score(df.repartition(2)).collect()} == pytest.approx(want, rel=1e-12)
 
 
 def test_lm(spark, docs, empty, sample):

@@ -14,23 +14,24 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from voxelith.llm.common import pack, shuffle_partitions, text_bytes, unpack
+from voxelith.llm.common import pack, shuffle_partitions, unpack
 
-#: A run should hold about so many keys; blocks and buckets grow with the root of the input for that, within these bytes.
-RUN_KEYS, LEAST_BYTES, MOST_BYTES = 1000, 1 << 20, 32 << 20
+#: A run should hold about so many keys; blocks and buckets grow with the root of the input for that, within these bytes of text.
+RUN_KEYS, LEAST_BYTES, MOST_BYTES = 4000, 1 << 20, 12 << 20
 
 
 def layout(docs: DataFrame) -> tuple[DataFrame, int, int]:
-    """Documents with a column ``block``, dealt by it; the number of partitions; the bits of a bucket's number.
+    """Documents with a column ``block``; the number of partitions; the bits of a bucket's number.
 
     A document's block is a hash of its id and text, so a lost task makes the same block again.
+    Blocks and buckets only say where work is done: no result depends on their numbers.
     """
-    total = text_bytes(docs)
-    each = min(MOST_BYTES, max(LEAST_BYTES, 4 * math.isqrt(RUN_KEYS * max(total, 1) // 4)))
+    total = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    each = min(MOST_BYTES, max(LEAST_BYTES, 4 * math.isqrt(RUN_KEYS * total // 4)))
     n = shuffle_partitions(docs.sparkSession)
-    blocks = max(4 * n, math.ceil(total / each)) if total > LEAST_BYTES else 4
+    blocks = max(4 * n, math.ceil(total / each))
     bits = min(24, max(2, math.ceil(math.log2(max(1, total / each)))))
-    return docs.withColumn("block", F.pmod(F.xxhash64("doc_id", "text"), F.lit(blocks))).repartition(n, "block"), n, bits
+    return docs.withColumn("block", F.pmod(F.xxhash64("doc_id", "text"), F.lit(blocks))), n, bits
 
 
 def bucket_bounds(keys: np.ndarray, bits: int) -> np.ndarray:

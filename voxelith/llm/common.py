@@ -35,14 +35,6 @@ def shuffle_partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
 
-def text_bytes(df: DataFrame, column: str = "text") -> int:
-    """The optimizer's size estimate, or half the bytes of a text column where it has none. Steers partition counts only, never results."""
-    guess = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
-    if guess < 1 << 55:
-        return guess
-    return (df.agg(F.sum(F.octet_length(column))).first()[0] or 0) // 2
-
-
 def shared_folder(spark: SparkSession) -> str:
     """The folder of spark.checkpoint.dir, which all executors see. Where it is unset, a local session gets a temporary one; a cluster has none to guess."""
     if where := spark.conf.get("spark.checkpoint.dir", None):

@@ -2,63 +2,140 @@
 
 Every word is the context of one restaurant; all restaurants share one parent, whose customers
 are their tables and whose base is uniform over the vocabulary and one unknown word. Nothing is
-held for the whole vocabulary in one place: blocks of documents ask buckets of words for counts
-and numbers, buckets of contexts for seating, and buckets of words again for the parent's.
+held for the whole vocabulary in one place: blocks of documents, and buckets that own words and
+contexts, exchange packed runs. In each round contexts draw their tables given the parent's
+probabilities, and the parent draws its own given these.
+
+A restaurant's dishes depend on each other through its number of tables T alone. Given an
+auxiliary x ~ Gamma(strength / discount + T) they are independent: a dish with c customers has t
+tables with a probability in proportion to S(c, t) (discount * x * H)^t, where S are generalised
+Stirling numbers and H is the dish's probability in the parent. So a round draws every x, every
+t and every H from its own conditional: a Gibbs sampler that needs sums only, and whose draws
+depend on the words and the round, not on where or in which order they are made.
 """
 
 from __future__ import annotations
 
+import math
 import zlib
+from collections.abc import Iterator
+from functools import cache
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 from voxelith.llm.blocks import bucket_bounds, layout, pack_keys, unpack_keys
 from voxelith.llm.common import byte_buffer, lower_bytes, mix, pack, unpack, word_hashes, word_spans
 
 #: Discount and strength of the contexts' restaurants and of their parent's.
 DISCOUNT, STRENGTH, ROOT_DISCOUNT, ROOT_STRENGTH = 0.8, 1.0, 0.7, 1.0
-#: Sweeps over the seating, of which the first are not averaged.
-SWEEPS, BURN_IN = 6, 2
-#: Customers of a dish that are seated singly; beyond, an eighth of those seated so far at a time.
-SINGLY = 64
+#: Rounds of Gibbs sampling, and seatings of the last round whose predictive probabilities are averaged.
+ROUNDS, SAMPLES = 4, 2
+#: Customers up to which Stirling numbers are tabled; beyond, they follow by their scaling limit (see Stirling.weights).
+TABLED = 1024
+#: Bytes of text that a worker splits into words at once.
+SLICE = 4 << 20
 END = np.uint64(0x656E64)  # the hash of the token that ends a text
 _BOS = 1  # the number of the context that starts a text; words' numbers are larger
-_CODES = 6  # steps of a parent probability's code to a factor of two
-
-
-def seat(counts: np.ndarray, base: np.ndarray, context: np.ndarray, spread: np.ndarray, discount: float, strength: float, rng: np.random.Generator, sweeps: int = SWEEPS, burn_in: int = BURN_IN) -> tuple[np.ndarray, np.ndarray]:
-    """Average tables of each (context, dish) and of each context, over sampled seatings.
-
-    A sweep takes each dish's customers from their restaurant and seats them again one by one:
-    at a new table in proportion to (strength + discount * tables) * base, at an old one in
-    proportion to customers less discount * tables of the dish. ``spread`` is the number of
-    parts that a context's restaurant is dealt to, each of which stands for the others' tables.
-    """
-    order = np.argsort(-counts, kind="stable")
-    order = order[: int(np.count_nonzero(counts > 1))]
-    c, b, u = counts[order], base[order], context[order]
-    tables = np.ones(len(counts))
-    of_context = np.bincount(context, tables, len(spread))
-    sum_tables, sum_context = np.zeros(len(counts)), np.zeros(len(spread))
-    for sweep in range(sweeps):
-        others = strength + discount * (of_context[u] - tables[order]) * spread[u]
-        mine, seated = np.ones(len(c)), 1
-        n = len(c)
-        while n:
-            m = 1 if seated < SINGLY else seated // 8
-            new = (others[:n] + discount * mine[:n]) * b[:n]
-            p = new / (new + seated - discount * mine[:n])
-            mine[:n] += rng.random(n) < p if m == 1 else rng.binomial(np.minimum(m, c[:n] - seated), p)
-            seated += m
-            n = int(np.searchsorted(-c[:n], -seated, "left"))
-        tables[order] = mine
-        of_context = np.bincount(context, tables, len(spread))
-        if sweep >= burn_in:
-            sum_tables += tables
-            sum_context += of_context
-    return sum_tables / (sweeps - burn_in), sum_context / (sweeps - burn_in)
+_BOS_KEY = 0x626F73
+
+
+# --- draws by key: equal keys give equal draws wherever they are made ------------------------
+
+
+def uniform(key: np.ndarray, *salt: int) -> np.ndarray:
+    """Uniform variates in (0, 1) of 64-bit keys."""
+    x = key
+    for s in salt:
+        x = mix(x ^ np.uint64((s + 1) * 0x9E3779B97F4A7C15 & 0xFFFFFFFFFFFFFFFF))
+    return ((mix(x) >> np.uint64(11)).astype(np.float64) + 0.5) * 2.0**-53
+
+
+def gamma(shape: np.ndarray, key: np.ndarray, *salt: int) -> np.ndarray:
+    """Gamma variates by squeezed normals; a shape under 1 goes by the next one up and a power."""
+    small = shape < 1
+    d = np.where(small, shape + 1, shape) - 1 / 3
+    c, out, left = 1 / np.sqrt(9 * d), np.zeros(len(shape)), np.arange(len(shape))
+    turn = 0
+    while len(left):
+        k = key[left]
+        z = np.sqrt(-2 * np.log(uniform(k, *salt, turn, 0))) * np.cos(2 * math.pi * uniform(k, *salt, turn, 1))
+        v = np.maximum(1 + c[left] * z, 0) ** 3
+        ok = np.log(uniform(k, *salt, turn, 2)) < 0.5 * z * z + d[left] * (1 - v + np.log(np.maximum(v, 1e-300)))
+        ok &= v > 0
+        out[left[ok]] = (d[left] * v)[ok]
+        left, turn = left[~ok], turn + 1
+    return np.where(small, out * uniform(key, *salt, 99) ** (1 / np.maximum(shape, 1e-9)), out)
+
+
+class Stirling:
+    """Generalised Stirling numbers of one discount, and draws of the tables of dishes."""
+
+    def __init__(self, discount: float, size: int = TABLED):
+        self.discount, self.size = discount, size
+        t = np.arange(size + 1.0)
+        self.log = np.full((size + 1, size + 1), -np.inf)
+        self.log[1, 1] = 0.0
+        with np.errstate(divide="ignore"):
+            for c in range(1, size):
+                old = np.log(np.maximum(c - discount * t[1 : c + 2], 0)) + self.log[c, 1 : c + 2]
+                self.log[c + 1, 1 : c + 2] = np.logaddexp(self.log[c, : c + 1], old)
+        # The chance that t Sibuya variates add up to ``size``, over t: flat where t is small, so that it can be read between its points.
+        t = t[1:]
+        chance = self.log[size, 1:] + np.cumsum(np.log(t)) + t * math.log(discount) - np.log(t)
+        self.at, self.chance = np.concatenate([[0.0], t]), np.concatenate([[2 * chance[0] - chance[1]], chance])
+
+    def weights(self, c: int, rate: float) -> np.ndarray:
+        """Logarithms, up to a constant, of the chances of 1, 2, ... tables of a dish with many customers.
+
+        With y = discount * rate, S(c, t) y^t is Poisson(rate) at t times the chance that t Sibuya
+        variates add up to c. That one depends on t / c^discount alone for large c, and is read
+        off from the largest c in the table.
+        """
+        most = int(min(c, rate + 12 * math.sqrt(rate + 1) + 40))
+        t = np.arange(1.0, most + 1)
+        return t * math.log(rate) - np.cumsum(np.log(t)) + np.log(t) + np.interp(t * (self.size / c) ** self.discount, self.at, self.chance, right=-1e300)
+
+    def draw(self, c: np.ndarray, rate: np.ndarray, u: np.ndarray) -> np.ndarray:
+        """Tables of dishes with c customers at rate x * H, by inversion of the exact conditional."""
+        out = np.ones(len(c), np.int64)
+        low = 2
+        while low <= min(self.size, int(c.max(initial=0))):
+            width = min(2 * low - 1, self.size)
+            some = np.flatnonzero((c >= low) & (c <= width))
+            step = max(1, (1 << 20) // width)
+            for a in range(0, len(some), step):
+                i = some[a : a + step]
+                w = self.log[c[i], 1 : width + 1] + np.arange(1.0, width + 1) * np.log(self.discount * rate[i])[:, None]
+                w = np.cumsum(np.exp(w - w.max(axis=1, keepdims=True)), axis=1)
+                out[i] = 1 + (w < (u[i] * w[:, -1])[:, None]).sum(axis=1)
+            low = width + 1
+        for i in np.flatnonzero(c > self.size):
+            w = self.weights(int(c[i]), float(rate[i]))
+            w = np.cumsum(np.exp(w - w.max()))
+            out[i] = 1 + int(np.searchsorted(w, u[i] * w[-1]))
+        return np.minimum(out, np.maximum(c, 1))
+
+
+@cache
+def stirling(discount: float) -> Stirling:
+    return Stirling(discount)
+
+
+def seat(counts: np.ndarray, base: np.ndarray, context: np.ndarray, discount: float, strength: float, seed: int, rounds: int) -> Iterator[np.ndarray]:
+    """Tables of each (context, dish), round by round, with the parent held at ``base``: the sampler without its exchange."""
+    tables, key = np.ones(len(counts), np.int64), mix(np.arange(1, len(counts) + 1, dtype=np.uint64) + np.uint64(seed << 32))
+    own = mix(np.arange(context.max(initial=0) + 1, dtype=np.uint64) + np.uint64((seed << 32) + (1 << 31)))
+    for r in range(rounds):
+        x = gamma(strength / discount + np.bincount(context, tables, len(own)), own, r)
+        tables = stirling(discount).draw(counts, x[context] * base, uniform(key, r))
+        yield tables
+
+
+# --- blocks of documents ---------------------------------------------------------------------
 
 
 def is_training(doc_id) -> bool:
@@ -66,25 +143,94 @@ def is_training(doc_id) -> bool:
     return zlib.crc32(b"" if doc_id is None else str(doc_id).encode()) % 7 != 2
 
 
+_ROW = pa.schema([("to", pa.int64()), ("kind", pa.int32()), ("sender", pa.int64()), ("ids", pa.list_(pa.int64())), ("a", pa.binary()), ("b", pa.binary()), ("c", pa.binary()), ("x", pa.float64()), ("y", pa.float64()), ("z", pa.float64())])
+_ROW_DDL = "to long, kind int, sender long, ids array<long>, a binary, b binary, c binary, x double, y double, z double"
+_TEXT, _WORDS, _COUNTS, _LEXICON, _PAIRS, _STATE, _UP, _DOWN, _SEATS, _ROOT = range(10)
+
+
+def _rows(rows: list[tuple]) -> pa.Table:
+    """Rows (to, kind, sender, a, b, c, x, y, z); trailing values may be left out."""
+    full = [(*r[:3], None, *r[3:], *(b"", b"", b"", 0.0, 0.0, 0.0)[len(r) - 3 :]) for r in rows]
+    return pa.table([pa.array([r[k] for r in full], f.type) for k, f in enumerate(_ROW)], schema=_ROW)
+
+
+def _of(table: pa.Table, kind: int) -> list[dict]:
+    """The rows of a kind, by sender."""
+    return sorted(table.filter(pc.equal(table["kind"], kind)).to_pylist(), key=lambda r: (r["sender"], r["a"]))
+
+
+def _bucket(k: int) -> int:
+    """A bucket's address; blocks have their numbers."""
+    return -1 - k
+
+
+def bundle(*arrays: np.ndarray) -> bytes:
+    parts = [pack(a) for a in arrays]
+    return b"".join([len(p).to_bytes(8, "little") + p for p in parts])
+
+
+def unbundle(b: bytes, *types) -> list[np.ndarray]:
+    out, at = [], 0
+    for t in types:
+        n = int.from_bytes(b[at : at + 8], "little")
+        out.append(unpack(b[at + 8 : at + 8 + n], t))
+        at += 8 + n
+    return out
+
+
+def _tokenised(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Texts as tokens, gathered by block: ids, lengths, sorted distinct hashes and each token's place among them."""
+    for batch in batches:
+        raw, at = byte_buffer(batch.column("text"))
+        raw = lower_bytes(raw)
+        cuts = [0]
+        while cuts[-1] < batch.num_rows:
+            cuts.append(max(cuts[-1] + 1, int(np.searchsorted(at, at[cuts[-1]] + SLICE, "right")) - 1))
+        tokens, lengths = [], []
+        for i, j in zip(cuts[:-1], cuts[1:], strict=True):
+            part = raw[at[i] : at[j]]
+            starts, ends, counts = word_spans(part, at[i : j + 1] - at[i])
+            made = np.full(len(starts) + len(counts), END, np.uint64)
+            inner = np.ones(len(made), bool)
+            inner[np.cumsum(counts + 1) - 1] = False
+            made[inner] = word_hashes(part, starts, ends)
+            tokens.append(made)
+            lengths.append(counts + 1)
+        if not tokens:
+            continue
+        tokens, lengths = np.concatenate(tokens), np.concatenate(lengths)
+        blocks, ids = np.asarray(batch.column("block")), batch.column("doc_id").to_pylist()
+        ends = np.cumsum(lengths)
+        order = np.argsort(blocks, kind="stable")
+        heads = np.flatnonzero(np.append(True, blocks[order][1:] != blocks[order][:-1]))
+        rows = []
+        for own in np.split(order, heads[1:]):
+            n = lengths[own]
+            pick = np.repeat(ends[own] - n - np.concatenate([[0], np.cumsum(n)[:-1]]), n) + np.arange(n.sum())
+            keys, place = np.unique(tokens[pick], return_inverse=True)
+            rows.append((int(blocks[own[0]]), _TEXT, 0, [ids[k] for k in own], bundle(n), pack_keys(keys), bundle(place.astype(np.int32)), 0.0, 0.0, 0.0))
+        yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], f.type) for k, f in enumerate(_ROW)], schema=_ROW)
+
+
 class _Block:
-    """The tokens of one block in a fixed order, words numbered by their sorted hashes."""
+    """The tokens of one block, words numbered by their sorted hashes."""
 
     def __init__(self, table: pa.Table):
-        self.table = table = table.sort_by([("doc_id", "ascending"), ("text", "ascending")])
-        self.number = table["block"][0].as_py()
-        raw, at = byte_buffer(table["text"])
-        raw = lower_bytes(raw)
-        starts, ends, counts = word_spans(raw, at)
-        stops = np.cumsum(counts + 1) - 1
-        tokens = np.full(len(starts) + len(counts), END, np.uint64)
-        inner = np.ones(len(tokens), bool)
-        inner[stops] = False
-        tokens[inner] = word_hashes(raw, starts, ends)
-        self.lengths, self.stops = counts + 1, stops
-        self.train = np.array([is_training(i) for i in table["doc_id"].to_pylist()], bool)
+        self.number = table["to"][0].as_py()
+        runs = table.filter(pc.equal(table["kind"], _TEXT))
+        self.ids = pa.concat_arrays([c.flatten() for c in runs["ids"].chunks]) if len(runs) else pa.array([], pa.int64())
+        lengths = [unbundle(b, np.int64)[0] for b in runs["a"].to_pylist()]
+        keys = [unpack_keys(b) for b in runs["b"].to_pylist()]
+        places = [unbundle(b, np.int32)[0] for b in runs["c"].to_pylist()]
+        self.lengths = np.concatenate(lengths)
+        self.stops = np.cumsum(self.lengths) - 1
+        self.keys, whole = np.unique(np.concatenate(keys), return_inverse=True)
+        offsets = np.cumsum([0, *[len(k) for k in keys]])
+        self.place = np.concatenate([whole[a + p] for a, p in zip(offsets, places, strict=False)])
+        self.train = np.array([is_training(i) for i in self.ids.to_pylist()], bool)
         self.training = np.repeat(self.train, self.lengths)
-        self.keys, self.place = np.unique(tokens, return_inverse=True)
         self.counts = np.bincount(self.place, self.training, len(self.keys)).astype(np.int64)
+        self.first = np.concatenate([[0], self.stops[:-1] + 1])
 
     def gather(self, answers: list[tuple[int, np.ndarray]], bits: int, dtype) -> np.ndarray:
         """One value for each distinct word from its bucket's answer."""
@@ -93,27 +239,33 @@ class _Block:
             out[at[b] : at[b + 1]] = x
         return out
 
+    def told(self, table: pa.Table, bits: int):
+        """Counts and numbers of the block's words, and the training tokens and words of all."""
+        rows = _of(table, _COUNTS)
+        made = [(r["sender"], *unbundle(r["a"], np.int64, np.int64)) for r in rows]
+        counts = self.gather([(b, c) for b, c, _ in made], bits, np.int64)
+        numbers = self.gather([(b, x) for b, _, x in made], bits, np.int64)
+        return counts, numbers, int(sum(r["x"] for r in rows)), int(sum(r["y"] for r in rows))
+
+    def before(self, of_words: np.ndarray, start) -> np.ndarray:
+        """Each token's context's value, given the words' values and that of the start of a text."""
+        out = np.empty(len(self.place), of_words.dtype)
+        out[1:] = of_words[self.place[:-1]]
+        out[self.first] = start
+        return out
+
     def pairs(self, counts: np.ndarray, numbers: np.ndarray, total: int, bits: int):
-        """Distinct (bucket, context, word) of tokens that are known in a known context, by bucket; each token's place there, or -1.
+        """Distinct (bucket, context, word, training count) of known tokens in known contexts, by bucket; each token's place there, or -1; tokens' contexts' counts.
 
         A context that would be more than a bucket's share is dealt to several buckets by word.
         """
-        number = numbers[self.place]
-        before = np.empty(len(number), np.int64)
-        before[1:] = number[:-1]
-        first = np.concatenate([[0], self.stops[:-1] + 1])
-        before[first] = _BOS
-        seen = counts[self.place]
-        trained = np.empty(len(seen), np.int64)
-        trained[1:] = seen[:-1]
         docs = int(counts[np.searchsorted(self.keys, END)])
-        trained[first] = docs
-        spread = np.maximum(1, -(-trained * (1 << bits) // max(1, total)))
+        number, seen, trained = numbers[self.place], counts[self.place], self.before(counts, docs)
         known = np.flatnonzero((seen > 0) & (trained > 0))
-        u, w, s = before[known], number[known], spread[known]
-        top = np.uint64(64 - bits)
-        home = (mix(u.astype(np.uint64)) >> top).astype(np.int64)
-        part = (mix(w.astype(np.uint64) * np.uint64(3)) % s.astype(np.uint64)).astype(np.int64)
+        u, w = self.before(numbers, _BOS)[known], number[known]
+        spread = np.maximum(1, -(-trained[known] * (1 << bits) // max(1, total)))
+        home = (mix(u.astype(np.uint64)) >> np.uint64(64 - bits)).astype(np.int64)
+        part = (mix(w.astype(np.uint64) * np.uint64(3)) % spread.astype(np.uint64)).astype(np.int64)
         bucket = (home + part) % (1 << bits)
         order = np.lexsort((w, u, bucket))
         b2, u2, w2 = bucket[order], u[order], w[order]
@@ -123,189 +275,220 @@ class _Block:
         place[known[order]] = np.cumsum(fresh) - 1
         pick = order[fresh]
         own = np.bincount(place[known], self.training[known], len(pick)).astype(np.int64)
-        hot_u, at = np.unique(u[s > 1], return_index=True)
-        hot = [(int(x), int(mix(np.array([x], np.uint64))[0] >> top), int(n)) for x, n in zip(hot_u, s[s > 1][at], strict=True)]
-        return before, trained, place, (bucket[pick], u[pick], w[pick], self.place[known][pick], s[pick], own), hot
-
-
-def _context_runs(part, hot, bits: int):
-    """Each bucket's contexts, sorted, with the parts they are dealt to; a dealt context is listed in all its buckets."""
-    bucket, u, _, _, s, _ = part
-    buckets = 1 << bits
-    b = np.concatenate([bucket, np.array([(h + k) % buckets for _, h, n in hot for k in range(min(n, buckets))], np.int64)])
-    x = np.concatenate([u, np.array([c for c, _, n in hot for _ in range(min(n, buckets))], np.int64)])
-    n = np.concatenate([s, np.array([n for _, _, n in hot for _ in range(min(n, buckets))], np.int64)])
-    order = np.lexsort((x, b))
-    b, x, n = b[order], x[order], n[order]
-    fresh = np.ones(len(b), bool)
-    fresh[1:] = (b[1:] != b[:-1]) | (x[1:] != x[:-1])
-    return b[fresh], x[fresh], n[fresh]
-
-
-_ROW = pa.schema([("block", pa.int64()), ("kind", pa.int32()), ("bucket", pa.int32()), ("a", pa.binary()), ("b", pa.binary()), ("x", pa.float64()), ("y", pa.float64())])
-_ROW_DDL = "block long, kind int, bucket int, a binary, b binary, x double, y double"
-_COUNTS, _SEATING, _ROOT, _TABLES = range(4)
-
+        return (bucket[pick], u[pick], w[pick], own), place, trained
 
-def _row_table(rows: list[tuple]) -> pa.Table:
-    return pa.table([pa.array([r[k] for r in rows], f.type) for k, f in enumerate(_ROW)], schema=_ROW)
 
+class _Pairs:
+    """The (context, dish) pairs of a bucket, from its blocks' runs."""
 
-def _merge(table: pa.Table, keys: str, counts: str):
-    """A word bucket's distinct hashes, each run's places in them, total counts and numbers by frequency."""
-    order = np.argsort(np.asarray(table["block"]), kind="stable")
-    table = table.take(pa.array(order))
-    runs = [unpack_keys(b) for b in table[keys].to_pylist()]
-    words, place = np.unique(np.concatenate(runs), return_inverse=True)
-    total = np.bincount(place, np.concatenate([unpack(b, np.int64) for b in table[counts].to_pylist()]), len(words)).astype(np.int64)
-    rank = np.empty(len(words), np.int64)
-    rank[np.lexsort((words, -total))] = np.arange(len(words))
-    return table, np.split(place, np.cumsum([len(r) for r in runs])[:-1]), total, rank
-
-
-def score(docs: DataFrame, discount: float = DISCOUNT, strength: float = STRENGTH, sweeps: int = SWEEPS, burn_in: int = BURN_IN, seed: int = 7) -> DataFrame:
+    def __init__(self, table: pa.Table):
+        self.senders, us, ws, cs = [], [], [], []
+        for r in _of(table, _PAIRS):
+            contexts, each, w, own = unbundle(r["a"], *[np.int64] * 4)
+            self.senders.append(r["sender"])
+            us.append(np.repeat(contexts, each))
+            ws.append(w)
+            cs.append(own)
+        empty = [np.zeros(0, np.int64)]
+        self.contexts, u = np.unique(np.concatenate(us + empty), return_inverse=True)
+        self.dishes, w = np.unique(np.concatenate(ws + empty), return_inverse=True)
+        width = max(1, len(self.dishes))
+        pair, self.place = np.unique(u * width + w, return_inverse=True)
+        self.ends = np.cumsum([len(x) for x in ws])[:-1] if ws else []
+        c = np.bincount(self.place, np.concatenate(cs + empty), len(pair)).astype(np.int64)
+        self.n, self.taken = len(pair), np.flatnonzero(c > 0)
+        self.c, self.u, self.w = c[self.taken], pair[self.taken] // width, pair[self.taken] % width
+
+
+def _dealt(ids: np.ndarray, buckets: int) -> tuple[np.ndarray, np.ndarray]:
+    """Ids in order of the bucket that owns them, and where each bucket's begin."""
+    home = (ids - _BOS - 1) % buckets
+    order = np.argsort(home, kind="stable")
+    return order, np.searchsorted(home[order], np.arange(buckets + 1))
+
+
+class _State:
+    """A bucket's pairs as they travel from round to round."""
+
+    def __init__(self, packed: bytes):
+        self.contexts, self.dishes, self.u, self.w, self.c = unbundle(packed, np.int64, np.int64, np.int32, np.int32, np.int64)
+
+
+def _ups(number: int, buckets: int, pairs: _Pairs | _State, seatings: list[np.ndarray], root_tables: float, vocabulary: float) -> list[tuple]:
+    """A bucket's reports to all buckets of words: the tables of their dishes and contexts in each seating."""
+    sums = [(np.bincount(pairs.w, t, len(pairs.dishes)).astype(np.int64), np.bincount(pairs.u, t, len(pairs.contexts)).astype(np.int64)) for t in seatings]
+    (dishes, at), (contexts, ct) = _dealt(pairs.dishes, buckets), _dealt(pairs.contexts, buckets)
+    rows = []
+    for k in range(buckets):
+        i, j = dishes[at[k] : at[k + 1]], contexts[ct[k] : ct[k + 1]]
+        rows.append((_bucket(k), _UP, number, bundle(pairs.dishes[i], *[s[0][i] for s in sums]), bundle(pairs.contexts[j], *[s[1][j] for s in sums]), b"", root_tables, vocabulary))
+    return rows
+
+
+def _rates(pairs: _Pairs | _State, table: pa.Table, buckets: int, samples: int) -> tuple[list[np.ndarray], np.ndarray, float, float]:
+    """From the parent's answers: x * H of each pair for each seating to come, the pairs' keys, the parent's tables and the vocabulary."""
+    (dishes, at), (contexts, ct) = _dealt(pairs.dishes, buckets), _dealt(pairs.contexts, buckets)
+    h, x = np.zeros(len(pairs.dishes)), np.zeros((samples, len(pairs.contexts)))
+    dish_key, context_key = np.zeros(len(h), np.uint64), np.zeros(len(pairs.contexts), np.uint64)
+    customers = tables = vocabulary = 0.0
+    for r in _of(table, _DOWN):
+        k = r["sender"]
+        i, j = dishes[at[k] : at[k + 1]], contexts[ct[k] : ct[k + 1]]
+        h[i], dish_key[i] = unbundle(r["a"], np.float32, np.uint32)
+        context_key[j], *own = unbundle(r["b"], np.uint32, *[np.float32] * samples)
+        for m in range(samples):
+            x[m, j] = own[m]
+        customers, tables, vocabulary = customers + r["x"], tables + r["y"], r["z"]
+    h = (h + (ROOT_STRENGTH + ROOT_DISCOUNT * tables) / (vocabulary + 1)) / (ROOT_STRENGTH + customers)
+    key = (context_key << np.uint64(32))[pairs.u] | dish_key[pairs.w]
+    return [x[m][pairs.u] * h[pairs.w] for m in range(samples)], key, tables, vocabulary
+
+
+def score(docs: DataFrame, discount: float = DISCOUNT, strength: float = STRENGTH, rounds: int = ROUNDS, samples: int = SAMPLES, seed: int = 7) -> DataFrame:
     """(doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score, perplexity) for every row of docs.
 
     A text's tokens are its words, A-Z in lower case, then one end; null counts as empty, so
     every row has a token. The model learns from all rows but the held-out ones. base_score
-    adds log10((c + 1) / (N + V + 1)) over tokens; score adds the logarithms of averaged
-    predictive probabilities, which over the vocabulary and one unknown word add up to 1.
-    With no training rows both are uniform over the unknown word. Seeds depend on the bucket
-    alone, so a lost task samples the same seating again. Words are told apart by 64-bit hashes.
+    adds log10((c + 1) / (N + V + 1)) over tokens; score adds the logarithms of predictive
+    probabilities, averaged over the last ``samples`` seatings, which over the vocabulary and one
+    unknown word add up to 1. With no training rows both are uniform over the unknown word.
+    Draws depend on words, round and seed alone: neither blocks and buckets nor a task that runs
+    again change a score. Words are told apart by 64-bit hashes. Other columns of docs are left out.
     """
-    dealt, n, bits = layout(docs.select("doc_id", "text"))
+    placed, n, bits = layout(docs.select("doc_id", "text"))
     buckets = 1 << bits
 
     def words(table: pa.Table) -> pa.Table:
         block = _Block(table)
         at = bucket_bounds(block.keys, bits)
-        spans = list(zip(at[:-1], at[1:], strict=True))
-        rows = [(block.number, _COUNTS, b, pack_keys(block.keys[x:y]), pack(block.counts[x:y]), 0.0, 0.0) for b, (x, y) in enumerate(spans)]
-        return _row_table(rows)
+        return _rows([(_bucket(b), _WORDS, block.number, pack_keys(block.keys[x:y]), bundle(block.counts[x:y])) for b, (x, y) in enumerate(zip(at[:-1], at[1:], strict=True))])
+
+    def merged(table: pa.Table):
+        """A bucket's distinct words, each block's places in them, and their total counts."""
+        runs = _of(table, _WORDS)
+        each = [unpack_keys(r["a"]) for r in runs]
+        keys, place = np.unique(np.concatenate(each), return_inverse=True)
+        total = np.bincount(place, np.concatenate([unbundle(r["b"], np.int64)[0] for r in runs]), len(keys)).astype(np.int64)
+        return keys, [(r["sender"], p) for r, p in zip(runs, np.split(place, np.cumsum([len(x) for x in each])[:-1]), strict=True)], total, np.lexsort((keys, -total))
 
     def count(table: pa.Table) -> pa.Table:
-        b = table["bucket"][0].as_py()
-        table, places, total, rank = _merge(table, "a", "b")
-        numbers = rank * buckets + b + _BOS + 1
+        """Each block's counts, and its words' numbers by frequency; the words in that order stay."""
+        b = -1 - table["to"][0].as_py()
+        keys, runs, total, order = merged(table)
+        numbers = np.empty(len(keys), np.int64)
+        numbers[order] = np.arange(len(keys)) * buckets + b + _BOS + 1
         tokens, known = float(total.sum()), float(np.count_nonzero(total))
-        return _row_table([(k, _COUNTS, b, pack(total[p]), pack(numbers[p]), tokens, known) for k, p in zip(table["block"].to_pylist(), places, strict=True)])
-
-    def told(block: _Block, answers: pa.Table):
-        rows = answers.filter(pa.compute.equal(answers["kind"], _COUNTS))
-        of = rows["bucket"].to_pylist()
-        counts = block.gather([(b, unpack(x, np.int64)) for b, x in zip(of, rows["a"].to_pylist(), strict=True)], bits, np.int64)
-        numbers = block.gather([(b, unpack(x, np.int64)) for b, x in zip(of, rows["b"].to_pylist(), strict=True)], bits, np.int64)
-        return counts, numbers, int(sum(rows["x"].to_pylist())), int(sum(rows["y"].to_pylist()))
-
-    def ask(table: pa.Table, answers: pa.Table) -> pa.Table:
-        if not len(table):
-            return _row_table([])
+        return _rows([(_bucket(b), _LEXICON, b, bundle(keys[order])), *[(k, _COUNTS, b, bundle(total[p], numbers[p]), b"", b"", tokens, known) for k, p in runs]])
+
+    def ask(table: pa.Table) -> pa.Table:
         block = _Block(table)
-        counts, numbers, total, known = told(block, answers)
-        _, _, _, part, hot = block.pairs(counts, numbers, total, bits)
-        bucket, u, w, word, _, own = part
-        cb, cu, cs = _context_runs(part, hot, bits)
-        code = np.minimum(255, np.round(-np.log2(np.maximum(counts[word], 1) / (total + known + 1)) * _CODES)).astype(np.uint8)
-        firsts = np.arange(buckets + 1)
-        at, ct = np.searchsorted(bucket, firsts), np.searchsorted(cb, firsts)
-        rows = []
+        counts, numbers, total, known = block.told(table, bits)
+        (bucket, u, w, own), _, _ = block.pairs(counts, numbers, total, bits)
+        at, rows = np.searchsorted(bucket, np.arange(buckets + 1)), []
         for b in range(buckets):
-            i, j = slice(at[b], at[b + 1]), slice(ct[b], ct[b + 1])
-            if j.stop == j.start:
-                continue
-            each = np.bincount(np.searchsorted(cu[j], u[i]), minlength=j.stop - j.start)
-            contexts = pack(np.stack([cu[j], cs[j], each]).ravel())
-            rows.append((block.number, _SEATING, b, contexts, len(w[i]).to_bytes(8, "little") + pack(np.concatenate([w[i], own[i], code[i].astype(np.int64)])), 0.0, 0.0))
-        return _row_table(rows)
-
-    def restaurants(table: pa.Table) -> pa.Table:
-        b = table["bucket"][0].as_py()
-        table = table.take(pa.array(np.argsort(np.asarray(table["block"]), kind="stable")))
-        contexts = [unpack(x, np.int64).reshape(3, -1) for x in table["a"].to_pylist()]
-        parts = [unpack(x[8:], np.int64).reshape(3, -1) if int.from_bytes(x[:8], "little") else np.zeros((3, 0), np.int64) for x in table["b"].to_pylist()]
-        known, first = np.unique(np.concatenate([c[0] for c in contexts]), return_index=True)
-        spread = np.concatenate([c[1] for c in contexts])[first]
-        lists = [np.searchsorted(known, c[0]) for c in contexts]
-        u = np.concatenate([np.repeat(k, c[2]) for k, c in zip(lists, contexts, strict=True)])
-        dishes, w = np.unique(np.concatenate([p[0] for p in parts]), return_inverse=True)
-        pair, place = np.unique(u * max(1, len(dishes)) + w, return_inverse=True)
-        c = np.bincount(place, np.concatenate([p[1] for p in parts]), len(pair)).astype(np.int64)
-        code = np.zeros(len(pair))
-        code[place] = np.concatenate([p[2] for p in parts])
-        taken = np.flatnonzero(c > 0)
-        pu, pw = pair[taken] // max(1, len(dishes)), pair[taken] % max(1, len(dishes))
-        rng = np.random.default_rng([seed, b])
-        tables, of_context = seat(c[taken], np.exp2(-code[taken] / _CODES), pu, spread, discount, strength, rng, sweeps, burn_in)
-        share = np.zeros(len(pair), np.float32)
-        share[taken] = c[taken] - discount * tables
-        ends = np.cumsum([p.shape[1] for p in parts])[:-1]
-        rows = [(k, _SEATING, b, pack(share[x]), pack(of_context[y].astype(np.float32)), 0.0, 0.0) for k, x, y in zip(table["block"].to_pylist(), np.split(place, ends), lists, strict=True)]
-        up = np.bincount(pw, tables, len(dishes))
-        target = (dishes - _BOS - 1) % buckets
-        order = np.argsort(target, kind="stable")
-        cut = np.searchsorted(target[order], np.arange(buckets + 1))
-        for k in range(buckets):
-            i = order[cut[k] : cut[k + 1]]
-            if len(i):
-                rows.append((b, _TABLES, k, pack(dishes[i]), pack(up[i]), 0.0, 0.0))
-        return _row_table(rows)
-
-    def parent(table: pa.Table, tables: pa.Table) -> pa.Table:
-        if not len(table):
-            return _row_table([])
-        b = table["bucket"][0].as_py()
-        table, places, total, rank = _merge(table, "a", "b")
-        tables = tables.take(pa.array(np.argsort(np.asarray(tables["block"]), kind="stable")))
-        customers = np.zeros(len(total))
-        by_rank = np.argsort(rank)
-        for ids, up in zip(tables["a"].to_pylist(), tables["b"].to_pylist(), strict=True):
-            np.add.at(customers, by_rank[(unpack(ids, np.int64) - b - _BOS - 1) // buckets], unpack(up, np.float64))
-        some = np.flatnonzero(customers > 0)
-        vocabulary = max(1, np.count_nonzero(total)) * buckets
-        own, _ = seat(np.maximum(1, np.round(customers[some])).astype(np.int64), np.full(len(some), 1 / (vocabulary + 1)), np.zeros(len(some), np.int64), np.array([buckets]), ROOT_DISCOUNT, ROOT_STRENGTH, np.random.default_rng([seed, buckets + b]), sweeps, burn_in)
-        own = np.minimum(own, customers[some])
-        share = np.zeros(len(total))
-        share[some] = customers[some] - ROOT_DISCOUNT * own
-        return _row_table([(k, _ROOT, b, pack(share[p]), b"", float(customers.sum()), float(own.sum())) for k, p in zip(table["block"].to_pylist(), places, strict=True)])
-
-    def finish(table: pa.Table, answers: pa.Table) -> pa.Table:
-        if not len(table):
-            return out.empty_table()
+            i = slice(at[b], at[b + 1])
+            if i.stop > i.start:
+                contexts, each = np.unique(u[i], return_counts=True)
+                rows.append((_bucket(b), _PAIRS, block.number, bundle(contexts, each, w[i], own[i]), b"", b"", 0.0, known))
+        return _rows(rows)
+
+    def begin(table: pa.Table) -> pa.Table:
+        """A bucket's pairs from all blocks, and the first seating: each dish of a context at one table, the parent's tables as many as words."""
+        b, p = -1 - table["to"][0].as_py(), _Pairs(table)
+        vocabulary = table["y"][0].as_py()
+        state = bundle(p.contexts, p.dishes, p.u.astype(np.int32), p.w.astype(np.int32), p.c)
+        return _rows([(_bucket(b), _STATE, b, state), *_ups(b, buckets, p, [np.ones(len(p.c))], vocabulary, vocabulary)])
+
+    def reports(table: pa.Table, words: int, n: int):
+        """Customers of the parent and tables of the contexts, in n seatings, with each report's places; the parent's tables so far and the vocabulary. The start of texts comes last."""
+        b = -1 - table["to"][0].as_py()
+        rows = _of(table, _UP)
+        customers, tables, places = np.zeros((n, words), np.int64), np.zeros((n, words + 1), np.int64), []
+        for r in rows:
+            dishes, *mine = unbundle(r["a"], *[np.int64] * (1 + n))
+            contexts, *parts = unbundle(r["b"], *[np.int64] * (1 + n))
+            i, j = (dishes - b - _BOS - 1) // buckets, (contexts - b - _BOS - 1) // buckets
+            places.append((r["sender"], i, j))
+            for k in range(n):
+                customers[k][i] += mine[k]
+                tables[k][j] += parts[k]
+        return customers, tables, places, *((rows[0]["x"], rows[0]["y"]) if rows else (0.0, 0.0))
+
+    def root_seating(customers: np.ndarray, keys: np.ndarray, tables: float, vocabulary: float, *salt: int) -> np.ndarray:
+        """The parent's tables of each word given its customers."""
+        x = gamma(np.array([ROOT_STRENGTH / ROOT_DISCOUNT + tables]), np.array([seed], np.uint64), *salt, 1)[0]
+        out, some = np.zeros(len(customers), np.int64), np.flatnonzero(customers)
+        out[some] = stirling(ROOT_DISCOUNT).draw(customers[some], np.full(len(some), x / (vocabulary + 1)), uniform(keys[some], seed, *salt, 2))
+        return out
+
+    def parent(turn: int, table: pa.Table) -> pa.Table:
+        """The parent's tables and probabilities of a bucket's words, and the auxiliary draws of its contexts, for those that reported."""
+        b = -1 - table["to"][0].as_py()
+        keys = unbundle(_of(table, _LEXICON)[0]["a"], np.uint64)[0]
+        (customers,), (tables,), places, before, vocabulary = reports(table, len(keys), 1)
+        own = root_seating(customers, keys, before, vocabulary, turn)
+        mass, some = np.zeros(len(keys)), np.flatnonzero(customers)
+        mass[some] = gamma(customers[some] - ROOT_DISCOUNT * own[some], keys[some], seed, turn, 3)
+        whole = np.append(keys, np.uint64(_BOS_KEY))
+        x = [gamma(strength / discount + tables, whole, seed, turn, 4 + k).astype(np.float32) for k in range(samples if turn == rounds - 1 else 1)]
+        short = (mix(whole) >> np.uint64(32)).astype(np.uint32)
+        sums = float(customers.sum()), float(own.sum()), vocabulary
+        return _rows([(_bucket(k), _DOWN, b, bundle(mass[i].astype(np.float32), short[i]), bundle(short[j], *[v[j] for v in x]), b"", *sums) for k, i, j in places])
+
+    def seating(turn: int, table: pa.Table) -> pa.Table:
+        b, p = -1 - table["to"][0].as_py(), _State(_of(table, _STATE)[0]["a"])
+        (rate,), key, tables, vocabulary = _rates(p, table, buckets, 1)
+        return _rows(_ups(b, buckets, p, [stirling(discount).draw(p.c, rate, uniform(key, seed, turn))], tables, vocabulary))
+
+    def seatings(table: pa.Table) -> pa.Table:
+        """The seatings that count: blocks get each pair's customers and tables, summed over them."""
+        b, p = -1 - table["to"][0].as_py(), _Pairs(table)
+        rates, key, tables, vocabulary = _rates(p, table, buckets, samples)
+        drawn = [stirling(discount).draw(p.c, rate, uniform(key, seed, rounds, k)) for k, rate in enumerate(rates)]
+        c, t = np.zeros(p.n, np.int64), np.zeros(p.n, np.int64)
+        c[p.taken], t[p.taken] = p.c, sum(drawn)
+        answers = [(k, _SEATS, b, bundle(c[x], t[x])) for k, x in zip(p.senders, np.split(p.place, p.ends), strict=True)]
+        return _rows([*answers, *_ups(b, buckets, p, drawn, tables, vocabulary)])
+
+    def root(table: pa.Table) -> pa.Table:
+        """Each block's words: their part of the parent's probability and their restaurants' tables, averaged over the seatings."""
+        b = -1 - table["to"][0].as_py()
+        keys, runs, _, order = merged(table)
+        customers, tables, _, before, vocabulary = reports(table, len(keys), samples)
+        own = np.stack([root_seating(customers[k], keys[order], before, vocabulary, rounds, k) for k in range(samples)])
+        share, average = np.empty(len(keys)), np.empty(len(keys))
+        share[order] = (customers - ROOT_DISCOUNT * own).mean(axis=0)
+        average[order] = tables[:, :-1].mean(axis=0)
+        sums = customers.sum() / samples, own.sum() / samples, tables[:, -1].mean()
+        return _rows([(k, _ROOT, b, bundle(share[p], average[p]), b"", b"", *map(float, sums)) for k, p in runs])
+
+    def finish(table: pa.Table) -> pa.Table:
         block = _Block(table)
-        counts, numbers, total, known = told(block, answers)
-        before, trained, place, part, hot = block.pairs(counts, numbers, total, bits)
-        bucket, u = part[0], part[1]
-        cb, cu, _ = _context_runs(part, hot, bits)
-        rows = answers.filter(pa.compute.equal(answers["kind"], _SEATING))
-        share, of_list = np.zeros(len(bucket) + 1), np.zeros(len(cb))
-        for b, x, y in zip(rows["bucket"].to_pylist(), rows["a"].to_pylist(), rows["b"].to_pylist(), strict=True):
-            i = np.searchsorted(bucket, [b, b + 1])
-            share[i[0] : i[1]] = unpack(x, np.float32) if i[1] > i[0] else 0
-            j = np.searchsorted(cb, [b, b + 1])
-            of_list[j[0] : j[1]] = unpack(y, np.float32)
-        contexts, at = np.unique(cu, return_inverse=True)
-        tables = np.bincount(at, of_list, len(contexts)) if len(contexts) else np.zeros(0)
-        root = answers.filter(pa.compute.equal(answers["kind"], _ROOT))
-        own = block.gather([(b, unpack(x, np.float64)) for b, x in zip(root["bucket"].to_pylist(), root["a"].to_pylist(), strict=True)], bits, np.float64)
-        customers, root_tables = sum(root["x"].to_pylist()), sum(root["y"].to_pylist())
-        up = (own + (ROOT_STRENGTH + ROOT_DISCOUNT * root_tables) / (known + 1)) / (ROOT_STRENGTH + customers)
-        up = up[block.place]
-        got = np.append(tables, 0.0)
-        k = np.searchsorted(contexts, before)
-        k[(k >= len(contexts)) | (np.append(contexts, -1)[np.minimum(k, len(contexts))] != before)] = len(contexts)
-        p = np.where(trained > 0, (share[place] + (strength + discount * got[k]) * up) / (strength + trained), up)
-        c = counts[block.place]
-        base = np.log10((c + 1) / (total + known + 1))
-        first = np.concatenate([[0], block.stops[:-1] + 1])
-        add = lambda x: np.add.reduceat(x, first)
+        counts, numbers, total, known = block.told(table, bits)
+        (bucket, *_), place, trained = block.pairs(counts, numbers, total, bits)
+        share = np.zeros(len(bucket) + 1)
+        for r in _of(table, _SEATS):
+            i = slice(*np.searchsorted(bucket, [r["sender"], r["sender"] + 1]))
+            c, t = unbundle(r["a"], np.int64, np.int64)
+            share[i] = c - discount * t / samples
+        rows = _of(table, _ROOT)
+        made = [(r["sender"], *unbundle(r["a"], np.float64, np.float64)) for r in rows]
+        own = block.gather([(b, x) for b, x, _ in made], bits, np.float64)
+        tables = block.gather([(b, x) for b, _, x in made], bits, np.float64)
+        customers, root_tables, start = (sum(r[k] for r in rows) for k in "xyz")
+        up = ((own + (ROOT_STRENGTH + ROOT_DISCOUNT * root_tables) / (known + 1)) / (ROOT_STRENGTH + customers))[block.place]
+        seated = block.before(tables, start)
+        p = np.where(trained > 0, (share[place] + (strength + discount * seated) * up) / (strength + trained), up)
+        base = np.log10((counts[block.place] + 1) / (total + known + 1))
+        add = lambda x: np.add.reduceat(x, block.first)
         scores = add(np.log10(p))
         return pa.table(
             [
-                block.table["doc_id"],
+                block.ids,
                 pa.array(~block.train),
                 pa.array(block.lengths, pa.int64()),
-                pa.array(add((c > 0).astype(np.int64)), pa.int64()),
-                pa.array([total] * len(first), pa.int64()),
+                pa.array(add((counts[block.place] > 0).astype(np.int64)), pa.int64()),
+                pa.array([total] * len(scores), pa.int64()),
                 pa.array(add(base)),
                 pa.array(scores),
                 pa.array(10 ** (-scores / block.lengths)),
@@ -314,12 +497,32 @@ def score(docs: DataFrame, discount: float = DISCOUNT, strength: float = STRENGT
         )
 
     out = pa.schema([("doc_id", pa.int64()), ("held_out", pa.bool_()), ("n_tokens", pa.int64()), ("n_known", pa.int64()), ("train_tokens", pa.int64()), ("base_score", pa.float64()), ("score", pa.float64()), ("perplexity", pa.float64())])
-    by_block = dealt.groupBy("block")
-    sent = dealt.groupBy("block").applyInArrow(words, _ROW_DDL).repartition(n, "bucket")
-    counted = sent.groupBy("bucket").applyInArrow(count, _ROW_DDL).repartition(n, "block")
-    asked = by_block.cogroup(counted.groupBy("block")).applyInArrow(ask, _ROW_DDL)
-    seated = asked.repartition(n, "bucket").groupBy("bucket").applyInArrow(restaurants, _ROW_DDL)
-    tables = seated.where(f"kind = {_TABLES}").repartition(n, "bucket")
-    rooted = sent.groupBy("bucket").cogroup(tables.groupBy("bucket")).applyInArrow(parent, _ROW_DDL)
-    answers = counted.unionByName(seated.where(f"kind = {_SEATING}")).unionByName(rooted).repartition(n, "block")
-    return by_block.cogroup(answers.groupBy("block")).applyInArrow(finish, "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double, perplexity double")
+
+    def in_turn(f, turn: int):
+        return lambda table: f(turn, table)
+
+    def sent(f, *parts: DataFrame) -> DataFrame:
+        """What ``f`` makes of the rows at each address, sent on to theirs. Parts that were sent are not dealt again."""
+        rows = parts[0]
+        for part in parts[1:]:
+            rows = rows.unionByName(part)
+        return rows.groupBy("to").applyInArrow(f, _ROW_DDL).repartition(n, "to")
+
+    def only(df: DataFrame, kind: int) -> DataFrame:
+        """Rows of a kind. The chance is there for the optimizer: it doesn't move this below an exchange, so that the exchange can be used again."""
+        return df.where(F.when(F.rand(1) >= 0, F.col("kind") == kind))
+
+    texts = placed.mapInArrow(_tokenised, _ROW_DDL).repartition(n, "to")
+    told = sent(words, texts)
+    counted = sent(count, told)
+    asked = sent(ask, texts, only(counted, _COUNTS))
+    begun = sent(begin, asked)
+    up = only(begun, _UP)
+    for turn in range(rounds):
+        down = sent(in_turn(parent, turn), only(counted, _LEXICON), up)
+        if turn < rounds - 1:
+            up = sent(in_turn(seating, turn), only(begun, _STATE), down)
+    final = sent(seatings, asked, down)
+    roots = sent(root, told, only(final, _UP))
+    everything = texts.unionByName(only(counted, _COUNTS)).unionByName(only(final, _SEATS)).unionByName(roots)
+    return everything.groupBy("to").applyInArrow(finish, "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double, perplexity double")

@@ -60,7 +60,8 @@ def dedup_substrings(docs: DataFrame, length: int = 35) -> DataFrame:
     lose nothing; repeated rows repeat each other, so all of theirs but the shortest lose all.
     Equal windows are told by 64-bit hashes.
     """
-    dealt, n, bits = layout(docs.select("doc_id", "text"))
+    placed, n, bits = layout(docs.select("doc_id", "text"))
+    dealt = placed.repartition(n, "block")
 
     def emit(table: pa.Table) -> pa.Table:
         block = table["block"][0].as_py() if len(table) else 0
