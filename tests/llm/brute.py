@@ -81,6 +81,36 @@ def quality(t):
     return (len(w), sum(map(len, w)), sum(c in "#*$%&|<>" for c in t), len(lines) - len(set(lines)), len(again))
 
 
+PIECE = re.compile("[^\\x20\\x09-\\x0DaeiouAEIOU0-9\\x80-\U0010ffff]{0,3}[^\\x20\\x09-\\x0D]")
+
+
+def signed(x):
+    return x - (1 << 64) if x >> 63 else x
+
+
+def chained(parts):
+    """XXH64 of parts one after the other, each seeded by the hash so far."""
+    seed = 42
+    for x in parts:
+        seed = xxhash.xxh64_intdigest(x, seed=seed)
+    return seed
+
+
+def syncmers(t, k=8, s=3):
+    """The fingerprint string of a text, and the set of its links."""
+    p = [x.encode() for x in PIECE.findall(t or "")]
+    g = [signed(chained(p[i : i + s])) for i in range(len(p) - s + 1)]
+    found = [i for i in range(len(p) - k + 1) if min(range(k - s + 1), key=lambda j, i=i: g[i + j]) in (0, k - s) or min(g[i], g[i + k - s]) == min(g[i : i + k - s + 1])]
+    made = [(i, chained(v.to_bytes(8, "little", signed=True) for v in (g[i], g[i + 3], g[i + 5])) & 0xFFFFF) for i in found]
+    if p and not made:
+        made = [(0, xxhash.xxh64_intdigest(b" ".join(p), seed=42) & 0xFFFFF)]
+    links, at, before = [], 0, 0
+    for i, h in made:
+        links.append((before, i - at, h))
+        at, before = i, h
+    return "".join(f"{gap:x}{h:05x}" for _, gap, h in links), set(links)
+
+
 def targets(sizes, weights=(1, 2, 3), cap=3):
     """sizes by source in order: shares by weight, the excess over the cap shared again until none is above."""
     names, total, fixed = list(sizes), sum(sizes.values()), {}

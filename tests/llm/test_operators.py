@@ -247,38 +247,51 @@ def test_syncmers(spark, sample, empty):
     ids = {i: t for i, t, _, _ in EDGE if i is not None and i != 2}
     for table in (sorted(ids.items()), list(zip(sample.doc_id, sample.text, strict=True))[:60], [(9, "one text only, " * 40)]):
         df = spark.createDataFrame(table, "doc_id bigint, text string")
-        rows = {r.doc_id: r for r in syncmers.edited_pairs(df).withColumn("near", syncmers.likeness(F.col("made"), syncmers.sketch(F.col("edited")))).collect()}
+        edited = syncmers.edited_pairs(df).withColumn("other", syncmers.sketch(F.col("edited")))
+        near = syncmers.likeness(F.col("made"), F.col("other"))
+        rows = {r.doc_id: r for r in edited.withColumn("near", near).withColumn("print", syncmers.fingerprint(F.col("made"))).collect()}
         assert len(rows) == len(table)
         for k, (i, t) in enumerate(table):
             t, after = t or "", table[(k + 1) % len(table)][1] or ""
             cut = len(t) // 4
-            assert rows[i].edited == t[: len(t) - cut] + after[:cut] and 0 <= rows[i].near <= 1
+            assert rows[i].edited == t[: len(t) - cut] + after[:cut]
+            (print_, mine), (_, other) = brute.syncmers(t), brute.syncmers(rows[i].edited)
+            assert rows[i].print == print_ and rows[i].near == pytest.approx(len(mine & other) / len(mine | other) if mine | other else 1.0)
     assert syncmers.edited_pairs(empty).count() == 0
     twice = spark.createDataFrame([(1, "a b c"), (1, "a b c"), (None, "x"), (None, None)], "doc_id bigint, text string")
     assert syncmers.edited_pairs(twice).count() == 4
 
 
 def test_likeness_of_a_short_and_a_long_text(spark, tmp_path):
-    """Texts on both sides of the limit, and long ones of few words, are as near as their shares in common."""
+    """Short texts, texts without spaces and texts of other scripts are as near as their shares in common."""
     w = " ".join(f"w{k * 7919 % 1000}" for k in range(120))
     blank = "".join(f"{k * 7919 % 1000:03d}" for k in range(300))
-    rows = [(1, w[:410]), (2, w[:390]), (3, "tiny"), (4, blank), (5, blank[:880])]
+    script = "".join(chr(0x4E00 + k * 7919 % 5000) for k in range(300))
+    rows = [(1, w[:410]), (2, w[:390]), (3, "tiny"), (4, blank), (5, blank[:880]), (6, script), (7, script[3:]), (8, "one two three four five six seven eight"), (9, None)]
     spark.createDataFrame(rows, "doc_id bigint, text string").write.parquet(f"{tmp_path}/documents.parquet")
     got = {r.doc_id: r for r in queries.op7_syncmer_fingerprints(spark, str(tmp_path)).collect()}
-    assert got[1].near_next > 0.8 and got[4].near_next > 0.8 and got[2].near_next == got[3].near_next == 0
-    assert got[2].near_edited > 0.4 and got[4].near_edited > 0.4
-    lone = [(1, w[:440]), (2, "x y z")]  # the edited text is shorter than the limit
+    assert all(got[k].near_next > 0.8 for k in (1, 4, 6)) and got[2].near_next == got[3].near_next == got[5].near_next == 0
+    assert all(got[k].near_edited > 0.4 for k in (2, 4, 5, 6)) and got[8].near_edited > 0.3 and got[9].near_edited == 1
+    lone = [(1, w[:461]), (2, "x y z")]
     spark.createDataFrame(lone, "doc_id bigint, text string").write.parquet(f"{tmp_path}/lone/documents.parquet")
-    assert queries.op7_syncmer_fingerprints(spark, f"{tmp_path}/lone").where("doc_id = 1").first().near_edited > 0.5
+    assert queries.op7_syncmer_fingerprints(spark, f"{tmp_path}/lone").where("doc_id = 1").first().near_edited > 0.6
 
 
-def test_syncmers_select_by_their_own_words_only(spark):
+def test_syncmers_select_by_their_own_pieces_only(spark):
+    """Equal passages have equal anchors, whatever stands around them, and links count order and distance."""
     from pyspark.sql import functions as F
 
     w = [f"w{k * 7919 % 1000}" for k in range(400)]
-    row = spark.createDataFrame([(" ".join(w), " ".join(["other"] * 9 + w[100:]))], "a string, b string").select(syncmers.anchors(F.col("a")).alias("a"), syncmers.anchors(F.col("b")).alias("b")).first()
-    a, b = {(x.start - 100, x.hash) for x in row.a if x.start >= 100}, {(x.start - 9, x.hash) for x in row.b if x.start >= 9}
-    assert a == b and len(a) > 100
+    row = (
+        spark.createDataFrame([(" ".join(w), " ".join(["other"] * 9 + w[100:]), " ".join(w[200:] + w[:200]), " ".join(reversed(w)))], "a string, b string, c string, d string")
+        .select(syncmers.anchors(F.col("a")).alias("in_a"), syncmers.anchors(F.col("b")).alias("in_b"), *[syncmers.likeness(syncmers.sketch(F.col("a")), syncmers.sketch(F.col(x))).alias(f"near_{x}") for x in "bcd"])
+        .first()
+    )
+    shift = len(brute.PIECE.findall(" ".join(w[:100]))) - len(brute.PIECE.findall(" ".join(["other"] * 9)))
+    a, b = ({(x >> 20, x & 0xFFFFF) for x in y} for y in (row.in_a, row.in_b))
+    late = {(k, h) for k, h in a if k >= 400}
+    assert len(late) > 100 and {(k - shift, h) for k, h in late} <= b
+    assert 0.65 < row.near_b < 0.8 and row.near_c > 0.97 and row.near_d < 0.05
 
 
 @pytest.mark.parametrize("table", ["edge", "sample"])

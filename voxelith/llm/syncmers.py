@@ -1,96 +1,83 @@
-"""Document fingerprints from closed syncmers: sketches of anchors that depend on no context."""
+"""Document fingerprints from closed syncmers: anchors that depend on no context, matched with their distances."""
 
 from __future__ import annotations
 
-from collections.abc import Callable
-
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from voxelith.llm.common import let, shuffle_partitions, words
+from voxelith.llm.common import let, shuffle_partitions
 
-#: Words of an anchor, words of its inner substrings, anchors that a fingerprint keeps, bits of an anchor.
-K, S, SKETCH, ANCHOR_BITS = 4, 2, 64, 32
-#: Texts of fewer code points or fewer words take characters for words: characters of an anchor and of its inner substrings.
-SHORT, FEW, SHORT_K, SHORT_S = 400, 50, 8, 3
+#: A piece of a text: up to three characters that end none, then one more. White space is in no piece, and ASCII vowels,
+#: digits and all beyond ASCII end one, so pieces fall in step again soon after any change, in scripts without spaces too.
+PIECE = r"[^\x20\x09-\x0DaeiouAEIOU0-9\x{80}-\x{10FFFF}]{0,3}[^\x20\x09-\x0D]"
+#: Pieces of an anchor, pieces of its inner substrings, bits of an anchor's hash.
+K, S, ANCHOR_BITS = 8, 3, 20
 FIRST_ID = -(1 << 63)
+_HASH = (1 << ANCHOR_BITS) - 1
 
 
-def _selected(w: Column, k: int, s: int, made: Callable[[Column, Column], Column]) -> Column:
-    """``made(start, hash)`` for every closed syncmer: k words whose least s-word hash is the first or the last of them."""
-    grams = F.when(F.size(w) >= k, F.transform(F.sequence(F.lit(0), F.size(w) - s), lambda i: F.xxhash64(*[F.get(w, i + j) for j in range(s)])))
+def anchors(text: Column) -> Column:
+    """array<bigint> of a text's closed syncmers in order: start << 20 | hash, both of its pieces.
 
-    def pick(g: Column) -> Column:
-        def anchor(first: Column, i: Column) -> Column:
-            last = F.get(g, i + (k - s))
-            inner = [F.get(g, i + j) for j in range(1, k - s)]
-            least = F.least(*inner) if len(inner) > 1 else inner[0] if inner else last
-            whole = F.xxhash64(*[F.get(w, i + j) for j in range(k)])
-            return F.when((first <= F.least(least, last)) | (last <= F.least(least, first)), made(i, whole.bitwiseAND(F.lit((1 << ANCHOR_BITS) - 1))))
+    K pieces are an anchor if the least hash of their S-piece substrings is the first or the last
+    one's, which no piece outside can change. Anchors start at most K - S pieces apart. A text
+    with pieces but without anchors, such as a shorter one, has one at 0: the hash of all its
+    pieces. Null, empty and blank texts have none.
+    """
+    pieces = F.regexp_extract_all(F.coalesce(text, F.lit("")), F.lit(PIECE), F.lit(0))
 
-        return F.array_compact(F.transform(F.slice(g, 1, F.size(w) - k + 1) if k > s else g, anchor))
+    def of(p: Column) -> Column:
+        grams = F.transform(F.sequence(F.lit(0), F.size(p) - S), lambda i: F.xxhash64(*[F.get(p, i + j) for j in range(S)]))
 
-    return let(grams, pick)
+        def pick(g: Column) -> Column:
+            def anchor(first: Column, i: Column) -> Column:
+                inner = F.least(*[F.get(g, i + j) for j in range(1, K - S)])
+                covered = [*range(0, K - S, S), K - S]  # substrings that hold all pieces between them
+                whole = F.xxhash64(*[F.get(g, i + j) for j in covered])
+                return F.when(F.least(first, F.get(g, i + (K - S))) <= inner, F.shiftleft(i.cast("bigint"), ANCHOR_BITS).bitwiseOR(whole.bitwiseAND(F.lit(_HASH))))
 
+            return F.array_compact(F.transform(F.slice(g, 1, F.size(p) - K + 1), anchor))
 
-def by_characters(text: Column) -> Column:
-    """Whether a text's anchors are of characters: it is short or has few words."""
-    text = F.coalesce(text, F.lit(""))
-    return (F.char_length(text) < SHORT) | (F.size(words(text)) < FEW)
+        one = F.array(F.xxhash64(F.array_join(p, " ")).bitwiseAND(F.lit(_HASH)))
+        found = F.when(F.size(p) >= K, let(grams, pick))
+        return F.when(F.size(p) == 0, F.array().cast("array<bigint>")).otherwise(let(found, lambda a: F.when(F.size(a) > 0, a).otherwise(one)))
 
+    return let(pieces, of)
 
-def _units(text: Column, body: Callable[[Column, int, int], Column], short: Column | None = None) -> Column:
-    """``body(units, k, s)`` over a text's characters if ``short``, by default as by_characters() says, else its words."""
-    short = by_characters(text) if short is None else short
-    text = F.coalesce(text, F.lit(""))
-    return F.when(short, let(F.array_remove(F.split(text, ""), ""), lambda w: body(w, SHORT_K, SHORT_S))).otherwise(let(words(text), lambda w: body(w, K, S)))
 
+def links(made: Column) -> Column:
+    """Each anchor's link to the one before: that one's hash, the distance in pieces and its own hash; the first one's distance is to the start."""
 
-def anchors(text: Column) -> Column:
-    """array<struct<start, hash>> of a text's closed syncmers, for positional matching; empty if it has none."""
-    chosen = _units(text, lambda w, k, s: _selected(w, k, s, lambda i, h: F.struct(i.alias("start"), h.alias("hash"))))
-    return F.coalesce(chosen, F.array().cast("array<struct<start:int,hash:bigint>>"))
+    def link(x: Column, j: Column) -> Column:
+        back = F.coalesce(F.get(made, j - 1), F.lit(0).cast("bigint"))
+        gap = F.shiftright(x, ANCHOR_BITS) - F.shiftright(back, ANCHOR_BITS)
+        return F.shiftleft(back.bitwiseAND(F.lit(_HASH)), ANCHOR_BITS + 4).bitwiseOR(F.shiftleft(gap, ANCHOR_BITS)).bitwiseOR(x.bitwiseAND(F.lit(_HASH)))
 
+    return F.transform(made, link)
 
-def sketch(text: Column, size: int = SKETCH, short: Column | None = None) -> Column:
-    """The ``size`` least distinct anchor hashes of the whole text, ascending.
 
-    A text without anchors, such as one shorter than an anchor, has one: the hash of all its
-    words or characters. Null and empty texts, and long blank ones, have an empty sketch.
-    Equal texts give equal sketches. Only sketches of one kind can be compared; ``short`` asks
-    for the kind of characters, by default as by_characters() says.
-    """
-
-    def of(w: Column, k: int, s: int) -> Column:
-        whole = F.xxhash64(F.array_join(w, " ")).bitwiseAND(F.lit((1 << ANCHOR_BITS) - 1))
-        chosen = let(_selected(w, k, s, lambda _, h: h), lambda a: F.when(F.size(a) > 0, F.slice(F.sort_array(F.array_distinct(a)), 1, size)))
-        return F.when(F.size(w) == 0, F.array().cast("array<bigint>")).otherwise(F.coalesce(chosen, F.array(whole)))
-
-    return _units(text, of, short)
+def sketch(text: Column) -> Column:
+    """The links of a text's anchors, of its whole length. Equal texts give equal sketches."""
+    return let(anchors(text), links)
 
 
 def fingerprint(made: Column) -> Column:
-    """A sketch as a string of lower-case hex digits, eight an anchor."""
-    return F.lower(F.array_join(F.transform(made, lambda x: F.lpad(F.hex(x), ANCHOR_BITS // 4, "0")), ""))
+    """A sketch as a string: for each anchor a hex digit of its distance and five of its hash, so that all can be read from it."""
+    return F.lower(F.array_join(F.transform(made, lambda x: F.lpad(F.hex(x.bitwiseAND(F.lit((1 << ANCHOR_BITS + 4) - 1))), ANCHOR_BITS // 4 + 1, "0")), ""))
 
 
-def likeness(a: Column, b: Column, size: int = SKETCH) -> Column:
-    """Estimated share of anchors in common, 0 to 1, from the least hashes of both sketches; 1 for two empty ones."""
-    both = F.slice(F.sort_array(F.array_union(a, b)), 1, size)
-    shared = let(both, lambda u: F.size(F.array_intersect(F.array_intersect(a, b), u)) / F.size(u))
-    return F.when((F.size(a) == 0) & (F.size(b) == 0), F.lit(1.0)).when((F.size(a) == 0) | (F.size(b) == 0), F.lit(0.0)).otherwise(shared.cast("double"))
+def likeness(a: Column, b: Column) -> Column:
+    """The share of links in common among all distinct links of two sketches, 0 to 1; 1 for two empty ones.
 
-
-def text_likeness(a: Column, a_made: Column, b: Column, b_made: Column) -> Column:
-    """likeness() of two texts with their sketches; where only one text is of the kind of characters, the other is sketched so too."""
-    a_short, b_short = by_characters(a), by_characters(b)
-    mine = F.when(b_short & ~a_short, sketch(a, short=F.lit(True))).otherwise(a_made)
-    other = F.when(a_short & ~b_short, sketch(b, short=F.lit(True))).otherwise(b_made)
-    return let(F.struct(mine.alias("a"), other.alias("b")), lambda m: likeness(m["a"], m["b"]))
+    A link is in common where both texts have the same two anchors at the same distance: a run
+    of these is a chain of anchors at one shift between the texts.
+    """
+    shared, apart = F.size(F.array_intersect(a, b)), F.size(F.array_distinct(a)) + F.size(F.array_distinct(b))
+    return F.when((F.size(a) == 0) & (F.size(b) == 0), F.lit(1.0)).otherwise(let(shared, lambda n: (n / (apart - n)).cast("double")))
 
 
-def with_next(docs: DataFrame, columns: list[str]) -> DataFrame:
-    """Rows of docs with ``next_<column>`` of the row that follows by (doc_id, text); the first follows the last.
+def with_next(docs: DataFrame, made: dict[str, Column]) -> DataFrame:
+    """(doc_id, text) of docs, the columns of ``made``, and text and these, as ``next_<name>``, of the row that follows by (doc_id, text); the first follows the last.
 
     Ids are cut at approximate quantiles into ranges, and each range is a window. The first
     row of a range is also sent to the range before, so that rows are shuffled once. The cuts
@@ -114,25 +101,30 @@ def with_next(docs: DataFrame, columns: list[str]) -> DataFrame:
     first_of = F.array(*[F.lit(lead_id.get(r)).cast("long") for r in range(size)])
     range_before = F.array(*[F.lit(before.get(r)).cast("int") for r in range(size)])
     wraps = F.lit(firsts[0][0] if firsts else 0)
-    own = docs.withColumn("__did", did).withColumn("__r", range_of(F.col("__did")))
+    own = docs.select("doc_id", "text", did.alias("did"), range_of(did).alias("r"))
     place = lambda r, ghost, late: F.struct(r.alias("r"), ghost.alias("ghost"), late.alias("late"))
-    here = place(F.col("__r"), F.lit(False), F.lit(False))
-    there = place(F.get(range_before, F.col("__r")), F.lit(True), F.col("__r") == wraps)
-    sent = own.withColumn("__p", F.explode(F.when(F.col("__did") == F.get(first_of, F.col("__r")), F.array(here, there)).otherwise(F.array(here))))
-    flat = sent.select(*[F.col(c) for c in docs.columns], F.col("__did"), F.col("__p.r").alias("__in"), F.col("__p.ghost").alias("__ghost"), F.col("__p.late").alias("__late"))
-    order = Window.partitionBy("__in").orderBy("__late", "__did", "text", "__ghost")
-    following = [F.lead(c).over(order).alias(f"next_{c}") for c in columns]
-    return flat.select("*", *following).where(~F.col("__ghost")).select(*[F.col(c) for c in docs.columns], *[f"next_{c}" for c in columns])
+    here = place(F.col("r"), F.lit(False), F.lit(False))
+    there = place(F.get(range_before, F.col("r")), F.lit(True), F.col("r") == wraps)
+    sent = own.withColumn("p", F.explode(F.when(F.col("did") == F.get(first_of, F.col("r")), F.array(here, there)).otherwise(F.array(here))))
+    order = ["late", "did", "text", "ghost"]
+    dealt = sent.select("doc_id", "text", "did", F.col("p.r").alias("range"), F.col("p.ghost").alias("ghost"), F.col("p.late").alias("late")).repartition(n // 4, "range").sortWithinPartitions("range", *order)
+    # Made after the exchange, so that only texts are sent.
+    window = Window.partitionBy("range").orderBy(*order)
+    columns = ["text", *made]
+    following = [F.lead(c).over(window).alias(f"next_{c}") for c in columns]
+    return dealt.select("*", *[m.alias(c) for c, m in made.items()]).select("*", *following).where(~F.col("ghost")).select("doc_id", *columns, *[f"next_{c}" for c in columns])
 
 
 def edited_pairs(docs: DataFrame) -> DataFrame:
     """(doc_id, text, made, next_text, next_made, edited) for every row; null text counts as empty.
 
     ``edited`` is the text with its last quarter of code points, rounded down, replaced by as
-    many from the start of the next row's text, or all of that; ``made`` are sketches.
+    many from the start of the next row's text, or all of that; ``made`` are sketches. Rows are in
+    order of doc_id and text, a null id first; equal rows follow each other. Other columns of
+    docs are left out. Rows of one doc_id are sorted by one task.
     """
-    rows = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).withColumn("made", sketch(F.col("text")))
+    rows = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
     n = F.char_length("text")
     cut = F.floor(n / 4).cast("int")
     edited = F.concat(F.substring("text", F.lit(1), n - cut), F.substring("next_text", F.lit(1), cut))
-    return with_next(rows, ["text", "made"]).withColumn("edited", edited)
+    return with_next(rows, {"made": sketch(F.col("text"))}).withColumn("edited", edited)
