@@ -381,6 +381,59 @@ def test_html_boilerplate_without_markup():
     assert html.main_texts([copy, copy]) == [shared, shared]
 
 
+def test_html_inside_an_article():
+    """Parts are told by whole names of classes, and what is apart inside a line leaves the line whole."""
+    page = """<article><p>one <b class="ad">buy</b> two <a class="share" href=x>Share this</a> three</p><div class="share-price">price</div>
+    <section id="related-work"><p>work</p></section><div class="menu-recipe">recipe</div><div class="related-posts">no</div><div id="commentList">no</div>
+    <p>x <span class="ad">no<span> no</span></span> y</p><p>z <button>no</button></p></article>"""
+    assert html.main_texts([page]) == ["one two three\nprice\nwork\nrecipe\nx y\nz"]
+
+
+def plain_pages(rng, n):
+    """Pages without an article or telling names, of three hosts; copies; lines that several pages share."""
+    word = lambda k: f"w{rng.integers(0, 10**6)}x{k}"
+    lines = [" ".join(word(k) for _ in range(12)) for k in range(20)]
+    rows = []
+    for k in range(n):
+        own = [" ".join(word(j) for _ in range(int(rng.integers(3, 30)))) for j in range(int(rng.integers(0, 4)))]
+        shared = [lines[int(x)] for x in rng.integers(0, 20, int(rng.integers(0, 3)))]
+        parts = [*own, *shared, *([own[0] + " " + lines[3]] if own and k % 3 == 0 else [])]
+        rng.shuffle(parts)
+        rows.append((k, f"http://host{k % 7 % 3}.org/{k}", "<body>" + "".join(f"<div>{x}</div>" for x in parts)))
+        if k % 5 == 0:
+            rows.append((1000 + k, rows[-1][1] + "?again", rows[-1][2]))
+    return rows
+
+
+def test_html_without_markup_like_brute_force(spark, monkeypatch):
+    """Every block of every page by the definition, whatever the blocks and buckets, over all pages of a host."""
+    from voxelith.llm import blocks
+
+    rows = plain_pages(np.random.default_rng(4), 200)
+    host = lambda url: url.split("/")[2]
+    holders = defaultdict(set)
+    streams = {i: [x.split() for x in h.removeprefix("<body><div>").removesuffix("</div>").split("</div><div>")] if "<div>" in h else [] for i, _, h in rows}
+    grams = lambda i: [tuple(w[k : k + 8]) for w in [sum(streams[i], [])] for k in range(len(w) - 7)]
+    for i, url, page in rows:
+        for g in grams(i):
+            holders[host(url), g].add(page)
+    want = {}
+    for i, url, _ in rows:
+        gone = {k + j for k, g in enumerate(grams(i)) if len(holders[host(url), g]) > 1 for j in range(8)}
+        at, kept = 0, []
+        for w in streams[i]:
+            if sum(at + j in gone for j in range(len(w))) < 0.8 * len(w):
+                kept.append(" ".join(w))
+            at += len(w)
+        want[i] = "\n".join(kept)
+    assert sum(len(t) < 10 for t in want.values()) < 150 and any(len(want[i]) < sum(map(len, streams[i])) for i in want)
+    for least in (1 << 20, 1 << 9):
+        monkeypatch.setattr(blocks, "LEAST_BYTES", least)
+        monkeypatch.setattr(blocks, "RUN_KEYS", 20)
+        df = spark.createDataFrame(rows, "page_id bigint, url string, html string").repartition(3)
+        assert {r.page_id: r.text for r in html.extract_main_text(df).collect()} == want
+
+
 def test_suffix_ranks():
     tokens, page = np.array([1, 2, 3, 4, 1, 2, 3, 4, 9, 1, 2, 3]), np.repeat([0, 1, 2], [4, 5, 3])
     ranks = html.suffix_ranks(tokens, page, 4)
