@@ -474,6 +474,63 @@ def test_classifier(spark, empty):
     assert cotrain.classify(empty, none, targets=("quality",)).count() == 0
 
 
+def test_classifier_odd_rows(spark, docs, empty):
+    """Nulls, empty texts, repeated ids, clashing names, odd labels and no metadata."""
+    from pyspark.sql import functions as F
+
+    labels = spark.createDataFrame([(1, 1, 0, "x"), (2, 0, 1, "y"), (2, 0, None, "z"), (6, 1, None, "x"), (None, 1, 1, "x"), (99, 0, 0, "x")], "doc_id bigint, quality int, toxic int, text string")
+    for c in ("key", "label_0", "by", "lone", "words", "shape"):
+        docs, labels = docs.withColumn(c, F.lit("own")), labels.withColumn(c, F.lit(1))
+    got = cotrain.classify(docs, labels)
+    assert got.count() == len(EDGE) and set(got.columns) == {"doc_id", *[f"{t}{x}" for t in ("quality", "toxic") for x in ("", "_score", "_text", "_meta")]}
+    assert cotrain.classify(docs.select("doc_id", "text"), labels).where("quality_score between 0 and 1").count() == len(EDGE)
+    assert cotrain.classify(empty, labels).count() == 0
+    many = spark.createDataFrame([(1, f"text {k}", "en", "a") for k in range(500)], NAMES)  # one row of them is for fitting
+    assert cotrain.classify(many, labels, rounds=1, taken=4).count() == 500
+
+
+def test_cotraining_exchange(spark):
+    """Both views give in every round, and what they give is what brute force finds surest among all without a label."""
+    from pyspark.sql import functions as F
+
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    labels = spark.read.parquet("/root/testdata/sf0.01/labels.parquet").where("pmod(hash(doc_id), 2) = 0")
+    history = []
+    cotrain.classify(docs, labels, targets=("quality",), taken=40, history=history)
+    assert {(r, v) for r, _, v, _ in history} == {(r, v) for r in range(cotrain.ROUNDS) for v in ("text", "meta")}
+    for v in ("text", "meta"):
+        every = [i for _, _, view, ids in history if view == v for i in ids]
+        assert len(every) == len(set(every)) == cotrain.ROUNDS * 40
+    first = cotrain.classify(docs, labels, targets=("quality",), rounds=0)
+    known = {r.doc_id for r in labels.collect()}
+    rows = first.join(docs.select("doc_id", F.xxhash64("text").alias("k")), "doc_id").collect()
+    for v in ("text", "meta"):
+        best = {}
+        for r in rows:
+            if r.doc_id not in known:
+                best[r.k] = (min(best[r.k][0], r[f"quality_{v}"]), max(best[r.k][1], r[f"quality_{v}"])) if r.k in best else (r[f"quality_{v}"],) * 2
+        low, high = (ids for turn, _, view, ids in history if turn == 0 and view == v)
+        assert sorted(best[k][0] for k in low) == pytest.approx(sorted(x for x, _ in best.values())[: len(low)])
+        assert sorted(best[k][1] for k in high) == pytest.approx(sorted(x for _, x in best.values())[-len(high) :])
+
+
+def test_fit_like_newton():
+    """The fitted loss against that of Newton's steps on the same features."""
+    rng = np.random.default_rng(8)
+    x = rng.normal(size=(600, 3))
+    y = (rng.random(600) < 1 / (1 + np.exp(-(x @ [2.0, -1.0, 0.0] + 0.5)))).astype(float)
+    weight = rng.choice([0.5, 1.0], 600)
+    made = cotrain.fit(np.zeros(601, np.int64), np.zeros(0, np.int32), x, y, weight, 0, 300)
+    z = np.clip((x - x.mean(axis=0)) / (x.std(axis=0) + 1e-6), -8, 8)
+    z, w = np.column_stack([z, np.ones(600)]), np.zeros(4)
+    for _ in range(30):
+        p = 1 / (1 + np.exp(-z @ w))
+        w -= np.linalg.solve(z.T @ (z * (weight * p * (1 - p))[:, None]) + 1e-9 * np.eye(4), z.T @ (weight * (p - y)))
+    loss = lambda q: -np.average(y * np.log(q) + (1 - y) * np.log(1 - q), weights=weight)
+    got = 1 / (1 + np.exp(-made.logits(np.zeros(601, np.int64), np.zeros(0, np.int32), x)))
+    assert loss(got) <= loss(1 / (1 + np.exp(-z @ w))) * 1.01
+
+
 def stirlings(c, d):
     """Generalised Stirling numbers S(c, 0..c) by their recursion."""
     row = [0.0, 1.0]

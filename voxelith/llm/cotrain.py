@@ -1,4 +1,10 @@
-"""A quality classifier by co-training: a view of the text and a view of the metadata teach each other."""
+"""A quality classifier by co-training: a view of the text and a view of the metadata teach each other.
+
+Features of all documents are made once and checkpointed. In each round both views' models score
+every document without a label, and the surest of each class, told apart by rank, go with their
+calibrated confidence to the other view's training set. Only the bounded sample of labelled rows and
+these few rows a round come to the driver.
+"""
 
 from __future__ import annotations
 
@@ -9,15 +15,19 @@ from dataclasses import dataclass
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from voxelith.llm.common import byte_buffer, lower_bytes, word_hashes, word_spans
+from voxelith.llm.common import byte_buffer, checkpointed, lower_bytes, word_hashes, word_spans
 
-#: Rows with labels, and without, that fitting sees at most: the bounded sample. All rows are scored.
-LABELLED, UNLABELLED = 6000, 3000
+#: Rows with labels that fitting sees at most: the bounded sample. All rows are scored, and all without a label may become pseudo-labels.
+LABELLED = 6000
 WORDS, META = 1 << 16, 1 << 10
-ROUNDS, TAKEN, CONFIDENT = 3, 300, 0.97
+#: Rounds of exchange, and pseudo-labels that a view gives in each, dealt to the classes by their share.
+ROUNDS, TAKEN = 3, 300
+#: Weight of a pseudo-label of full confidence, next to a label's.
+TRUST = 0.5
 #: A word or metadata value takes part if its share of positives is so many standard errors from the expected one.
 SURPRISE = 4.0
 _SHAPES = 9
@@ -98,111 +108,212 @@ def fit(first, index, shape, y: np.ndarray, weight: np.ndarray, width: int, step
     return Linear(w[:width], w[width:-1], mean, scale, float(w[-1]))
 
 
-def _take(view, rows: np.ndarray):
-    first, index, shape = view
-    n = np.diff(first)[rows]
-    at = np.concatenate([[0], np.cumsum(n)])
-    pick = np.repeat(first[:-1][rows] - at[:-1], n) + np.arange(at[-1])
-    return at, index[pick], shape[rows]
+@dataclass
+class Rows:
+    """Features of some rows: hashed words as CSR (first, index), shape, and a metadata index for each column."""
+
+    first: np.ndarray
+    index: np.ndarray
+    shape: np.ndarray
+    meta: np.ndarray
+
+    def __len__(self) -> int:
+        return len(self.meta)
+
+    def take(self, rows: np.ndarray) -> Rows:
+        n = np.diff(self.first)[rows]
+        at = np.concatenate([[0], np.cumsum(n)])
+        pick = np.repeat(self.first[:-1][rows] - at[:-1], n) + np.arange(at[-1])
+        return Rows(at, self.index[pick], self.shape[rows], self.meta[rows])
+
+    def plus(self, other: Rows) -> Rows:
+        return Rows(np.concatenate([self.first, other.first[1:] + self.first[-1]]), np.concatenate([self.index, other.index]), np.concatenate([self.shape, other.shape]), np.concatenate([self.meta, other.meta]))
+
+    def view(self, name: str):
+        if name == "text":
+            return self.first, self.index, self.shape
+        return np.arange(len(self) + 1) * self.meta.shape[1], self.meta.ravel(), np.zeros((len(self), 0))
+
+    @classmethod
+    def read(cls, batch: pa.RecordBatch, columns: int) -> Rows:
+        words = [np.frombuffer(b, np.uint16) for b in batch.column("words").to_pylist()]
+        dense = lambda c, kind, width: np.frombuffer(b"".join(batch.column(c).to_pylist()), kind).reshape(batch.num_rows, width)
+        return cls(np.concatenate([[0], np.cumsum([len(w) for w in words])]).astype(np.int64), np.concatenate([*words, np.zeros(0, np.uint16)]).astype(np.int32), dense("shape", np.float32, _SHAPES).astype(float), dense("meta", np.uint16, columns).astype(np.int32))
+
+
+VIEWS = {"text": WORDS, "meta": META}
+
+
+def _none(n: int):
+    return np.zeros(n + 1, np.int64), np.zeros(0, np.int32)
 
 
 @dataclass
 class CoTrained:
-    """Both views' models, and the calibration that joins their logits."""
-
-    text: Linear
-    meta: Linear
-    joined: Linear
-
-    def parts(self, text, meta) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        a, b = self.text.logits(*text), self.meta.logits(*meta)
-        none = (np.zeros(len(a) + 1, np.int64), np.zeros(0, np.int32))
-        return a, b, self.joined.logits(*none, np.stack([a, b], axis=1))
-
-
-def cotrain(text, meta, y: np.ndarray, labelled: np.ndarray, rounds: int = ROUNDS) -> CoTrained:
-    """Fits on rows with labels, less every fourth, kept for calibration; each round a view gives its surest rows to the other."""
-    known = np.flatnonzero(labelled)
-    hold, train, free = known[::4], np.delete(known, np.s_[::4]), np.flatnonzero(~labelled)
-    sets = {k: (list(train), list(y[train]), [1.0] * len(train)) for k in ("text", "meta")}
-    views, widths, models, given = {"text": text, "meta": meta}, {"text": WORDS, "meta": META}, {}, {"text": set(), "meta": set()}
-    for turn in range(rounds + 1):
-        for k, view in views.items():
-            rows, labels, weights = map(np.array, sets[k])
-            models[k] = fit(*_take(view, rows.astype(int)), labels, weights, widths[k])
-        if turn == rounds or not len(free):
-            break
-        for k, other in (("text", "meta"), ("meta", "text")):
-            p = 1 / (1 + np.exp(-np.clip(models[k].logits(*_take(views[k], free)), -30, 30)))
-            for sure, label in ((p, 1), (1 - p, 0)):
-                best = [int(i) for i in np.argsort(-sure, kind="stable")[:TAKEN] if sure[i] >= CONFIDENT and int(free[i]) not in given[other]]
-                given[other].update(int(free[i]) for i in best)
-                sets[other][0].extend(free[best])
-                sets[other][1].extend([label] * len(best))
-                sets[other][2].extend([0.5] * len(best))
-    at = hold if len(hold) else known
-    logits = np.stack([models["text"].logits(*_take(text, at)), models["meta"].logits(*_take(meta, at))], axis=1)
-    none = (np.zeros(len(at) + 1, np.int64), np.zeros(0, np.int32))
-    joined = fit(*none, logits, y[at], np.ones(len(at)), 0, 300)
-    return CoTrained(models["text"], models["meta"], joined)
-
-
-def _views(batch: pa.RecordBatch, meta: list[str]):
+    """Both views' models, each one's calibration, and the one that joins the calibrated logits."""
+
+    models: dict[str, Linear]
+    scales: dict[str, Linear]
+    joined: Linear | None = None
+
+    def logits(self, name: str, rows: Rows) -> np.ndarray:
+        """A view's calibrated logits."""
+        return self.scales[name].logits(*_none(len(rows)), self.models[name].logits(*rows.view(name))[:, None])
+
+    def parts(self, rows: Rows) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        a, b = self.logits("text", rows), self.logits("meta", rows)
+        return a, b, self.joined.logits(*_none(len(rows)), np.stack([a, b], axis=1))
+
+
+def _share(z: np.ndarray) -> np.ndarray:
+    return 1 / (1 + np.exp(-np.clip(z, -30, 30)))
+
+
+class Teaching:
+    """The training sets of both views of one target; every fourth labelled row is kept for calibration."""
+
+    def __init__(self, rows: Rows, y: np.ndarray):
+        keep = np.arange(len(y)) % 4 != 0 if len(y) > 3 else np.ones(len(y), bool)
+        self.held = (rows, y) if keep.all() else (rows.take(np.flatnonzero(~keep)), y[~keep])
+        train = rows.take(np.flatnonzero(keep))
+        self.sets = {k: (train, y[keep], np.ones(int(keep.sum()))) for k in VIEWS}
+        self.base = float(np.mean(y)) if len(y) else 0.5
+
+    def wanted(self, taken: int) -> tuple[int, int]:
+        """How many rows of class 0 and of class 1 a view gives in a round."""
+        ones = min(max(1, round(taken * self.base)), taken - 1) if 0 < self.base < 1 else round(taken * self.base)
+        return taken - ones, ones
+
+    def fitted(self) -> CoTrained:
+        models, scales = {}, {}
+        rows, y = self.held
+        for k, width in VIEWS.items():
+            own, labels, weights = self.sets[k]
+            models[k] = fit(*own.view(k), labels, weights, width)
+            scales[k] = fit(*_none(len(y)), models[k].logits(*rows.view(k))[:, None], y, np.ones(len(y)), 0, 300)
+        made = CoTrained(models, scales)
+        made.joined = fit(*_none(len(y)), np.stack([made.logits(k, rows) for k in VIEWS], axis=1), y, np.ones(len(y)), 0, 300)
+        return made
+
+    def learn(self, view: str, rows: Rows, label: int, sure: np.ndarray) -> None:
+        """Rows for a view's training set, given by the other one; they weigh by how far their confidence is over the class' share."""
+        own, labels, weights = self.sets[view]
+        share = self.base if label else 1 - self.base
+        trust = TRUST * np.clip((sure - share) / max(1e-9, 1 - share), 0, 1)
+        self.sets[view] = own.plus(rows), np.concatenate([labels, np.full(len(rows), label)]), np.concatenate([weights, trust])
+
+
+def _features(batch: pa.RecordBatch, meta: list[str]) -> list[pa.Array]:
+    first, index, shape = text_view(batch.column("text"))
     m = meta_view(batch.select(meta).to_pandas()) if meta else np.zeros((batch.num_rows, 0), np.int64)
-    wide = (np.arange(len(m) + 1) * m.shape[1], m.ravel().astype(np.int32), np.zeros((len(m), 0)))
-    return text_view(batch.column("text")), wide
+    index = index.astype(np.uint16)
+    words = [index[a:b].tobytes() for a, b in zip(first[:-1], first[1:], strict=True)]
+    return [pa.array(words, pa.binary()), *[pa.array([r.tobytes() for r in x], pa.binary()) for x in (shape.astype(np.float32), m.astype(np.uint16))]]
 
 
-def classify(docs: DataFrame, labels: DataFrame, targets: tuple[str, ...] = ("quality", "toxic"), meta: tuple[str, ...] = ("lang", "source", "n_chars"), labelled: int = LABELLED, unlabelled: int = UNLABELLED) -> DataFrame:
+def classify(
+    docs: DataFrame, labels: DataFrame, targets: tuple[str, ...] = ("quality", "toxic"), meta: tuple[str, ...] = ("lang", "source", "n_chars"), labelled: int = LABELLED, rounds: int = ROUNDS, taken: int = TAKEN, history: list | None = None
+) -> DataFrame:
     """(doc_id, then for each target <target>_score, <target>_text, <target>_meta and <target>) for every row of docs.
 
-    ``labels`` holds doc_id and 0/1 targets. Fitting sees at most ``labelled`` rows with labels
-    and ``unlabelled`` without, those of the smallest hashes; everything is scored. A score is
-    the joined, calibrated probability, <target> whether it is at least a half; _text and _meta
-    are the views' own. Null targets are no labels; several labels of a doc_id are averaged
-    and rounded. Without labels every score is a half; with one kind only, near it.
+    ``labels`` holds doc_id and 0/1 targets. Fitting sees at most ``labelled`` rows with labels,
+    those of the smallest id hashes, one row for an id; everything is scored. In each of
+    ``rounds`` rounds each view gives the other its ``taken`` surest rows among all without that
+    label, in the classes' shares; rows of equal text count once, and none is given twice.
+    A score is the joined probability, <target> whether it is at least a half; _text and _meta are
+    the views' own, calibrated. Null targets are no labels; several labels of a doc_id are
+    averaged and rounded; a null doc_id has none. Null and empty texts count as texts without words.
+    Without labels every score is a half; with one kind only, near it. Other columns of docs and
+    of labels are left out, whatever their names. ``history`` gets (round, target, view, ids given).
     """
     meta = [c for c in meta if c in docs.columns]
-    hashed = F.xxhash64("doc_id")
     known = labels.where(F.col("doc_id").isNotNull()).groupBy("doc_id").agg(*[F.round(F.avg(t)).alias(t) for t in targets])
-    sample = known.orderBy(hashed, "doc_id").limit(labelled)
-    others = docs.select("doc_id").where(F.col("doc_id").isNotNull()).orderBy(hashed, "doc_id").limit(unlabelled).distinct().join(known.select("doc_id"), "doc_id", "left_anti")
-    for t in targets:
-        others = others.withColumn(t, F.lit(None).cast("double"))
-    wanted = F.broadcast(sample.unionByName(others))  # at most labelled + unlabelled rows
 
     def features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            (first, index, shape), (_, m, _) = _views(batch, meta)
-            lists = lambda at, x, kind: pa.ListArray.from_arrays(pa.array(at, pa.int32()), pa.array(x, kind))
-            n = batch.num_rows
-            columns = [lists(first, index, pa.int32()), lists(np.arange(n + 1) * _SHAPES, shape.ravel(), pa.float64()), lists(np.arange(n + 1) * len(meta), m, pa.int32())]
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), *[batch.column(t) for t in targets], *columns], ["doc_id", *targets, "words", "shape", "meta"])
-
-    rows = docs.select("doc_id", "text", *meta).join(wanted, "doc_id")
-    ddl = "doc_id long, " + "".join(f"{t} double, " for t in targets) + "words array<int>, shape array<double>, meta array<int>"
-    got = rows.mapInArrow(features, ddl).toPandas().sort_values("doc_id", kind="stable", ignore_index=True)
-    stack = lambda c, kind: (np.concatenate([[0], np.cumsum([len(x) for x in got[c]])]).astype(np.int64), np.concatenate([*got[c], np.zeros(0)]).astype(kind))
-    first, index = stack("words", np.int32)
-    shape = stack("shape", float)[1].reshape(len(got), _SHAPES)
-    at, m = stack("meta", np.int32)
-    models = {}
-    for t in targets:
-        y = got[t].to_numpy(float)
-        if len(got) and (~np.isnan(y)).any():
-            models[t] = cotrain((first, index, shape), (at, m, np.zeros((len(got), 0))), np.nan_to_num(y), ~np.isnan(y))
-
-    def scores(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
             for a in range(0, whole.num_rows, 1000):
                 batch = whole.slice(a, 1000)
-                text, wide = _views(batch, meta)
-                columns = [batch.column("doc_id")]
-                for t in targets:
-                    parts = models[t].parts(text, wide) if t in models else [np.zeros(batch.num_rows)] * 3
-                    a_, b_, p = [1 / (1 + np.exp(-np.clip(x, -30, 30))) for x in parts]
-                    columns += [pa.array(p), pa.array(a_), pa.array(b_), pa.array(p >= 0.5)]
-                yield pa.RecordBatch.from_arrays(columns, ["doc_id", *[c for t in targets for c in (f"{t}_score", f"{t}_text", f"{t}_meta", t)]])
-
-    ddl = "doc_id long" + "".join(f", {t}_score double, {t}_text double, {t}_meta double, {t} boolean" for t in targets)
-    return docs.select("doc_id", "text", *meta).mapInArrow(scores, ddl)
+                yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("key"), *_features(batch, meta)], ["doc_id", "key", "words", "shape", "meta"])
+
+    made = docs.select("doc_id", F.xxhash64("text").alias("key"), "text", *meta).mapInArrow(features, "doc_id long, key long, words binary, shape binary, meta binary")
+    # A null id finds no label; its rows are dealt by their text.
+    made = made.select("*", F.coalesce("doc_id", "key").alias("by"), F.col("doc_id").isNull().alias("lone"))
+    told = known.select(F.col("doc_id").alias("by"), F.lit(False).alias("lone"), *[F.col(t).alias(f"label_{k}") for k, t in enumerate(targets)])
+    rows = checkpointed(made.join(told, ["by", "lone"], "left").drop("by", "lone"))
+    some = known.select("doc_id").orderBy(F.xxhash64("doc_id"), "doc_id").limit(labelled)  # at most so many rows
+    names = ["key", "words", "shape", "meta", *[f"label_{k}" for k in range(len(targets))]]
+    sample = rows.join(F.broadcast(some), "doc_id").groupBy("doc_id").agg(F.min(F.struct(*names)).alias("s")).select("doc_id", "s.*")
+    got = sample.orderBy(F.xxhash64("doc_id"), "doc_id").toArrow().combine_chunks()
+    batch = got.to_batches()[0] if len(got) else None
+    teaching = {}
+    for k, t in enumerate(targets):
+        y = got.column(f"label_{k}").to_numpy().astype(float) if batch is not None else np.zeros(0)
+        if (has := np.flatnonzero(~np.isnan(y))).size:
+            teaching[t] = Teaching(Rows.read(batch, len(meta)).take(has), y[has])
+    given: dict[tuple, set[int]] = {(t, v): set() for t in teaching for v in VIEWS}
+
+    # Equally sure rows are taken from opposite ends, so that no row is sure to be of both classes.
+    def turned(key, label: int):
+        return -key - 1 if label else key
+
+    def ranked(held: dict[int, tuple], label: int) -> list[tuple]:
+        return sorted(held.values(), key=lambda r: (-r[0], turned(r[1], label)))
+
+    def surest(models: dict[str, CoTrained], before: dict, want: dict):
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            """The surest rows of each target, view and class in a partition, each text once."""
+            best: dict[tuple, dict[int, tuple]] = {}
+            for batch in batches:
+                x, keys = Rows.read(batch, len(meta)), np.asarray(batch.column("key"))
+                for k, t in enumerate(targets):
+                    free = np.flatnonzero(np.isnan(np.asarray(batch.column(f"label_{k}").to_numpy(zero_copy_only=False), float)))
+                    for v in VIEWS if t in models else ():
+                        p = _share(models[t].logits(v, x))
+                        mine = free[~np.isin(keys[free], list(before[t, v]))]
+                        for label in (0, 1):
+                            sure, n = p if label else 1 - p, want[t][label]
+                            held = best.setdefault((k, v, label), {})
+                            order = mine[np.lexsort((turned(keys[mine], label), -sure[mine]))]
+                            for i in order[np.sort(np.unique(keys[order], return_index=True)[1])][:n].tolist():
+                                row = (float(sure[i]), int(keys[i]), *[batch.column(c)[i].as_py() for c in ("words", "shape", "meta")])
+                                if row[1] not in held or held[row[1]][0] < row[0]:
+                                    held[row[1]] = row
+                            if len(held) > 4 * n:
+                                best[k, v, label] = {r[1]: r for r in ranked(held, label)[:n]}
+            out = [(k, v, label, *r) for (k, v, label), held in best.items() for r in ranked(held, label)[: want[targets[k]][label]]]
+            yield pa.RecordBatch.from_arrays([pa.array([r[c] for r in out], kind) for c, kind in enumerate((pa.int32(), pa.string(), pa.int32(), pa.float64(), pa.int64(), pa.binary(), pa.binary(), pa.binary()))], ["target", "view", "label", "sure", "key", "words", "shape", "meta"])
+
+        return run
+
+    for turn in range(rounds if teaching else 0):
+        models = {t: x.fitted() for t, x in teaching.items()}
+        want = {t: x.wanted(taken) for t, x in teaching.items()}
+        found = rows.mapInArrow(surest(models, given, want), "target int, view string, label int, sure double, key long, words binary, shape binary, meta binary")
+        slot = ["target", "view", "label"]
+        once = found.groupBy(*slot, "key").agg(F.max(F.struct("sure", "words", "shape", "meta")).alias("r")).select(*slot, "key", "r.*")
+        once = checkpointed(once)
+        for k, t in enumerate(targets):
+            for v, other in (("text", "meta"), ("meta", "text")) if t in teaching else ():
+                for label in (0, 1):
+                    if not want[t][label]:
+                        continue
+                    top = once.where((F.col("target") == k) & (F.col("view") == v) & (F.col("label") == label)).orderBy(F.col("sure").desc(), F.col("key").desc() if label else F.col("key")).limit(want[t][label]).toArrow().combine_chunks()
+                    top = top.filter(pc.invert(pc.is_in(top.column("key"), pa.array(list(given[t, v]), pa.int64()))))
+                    if len(top):
+                        batch = top.combine_chunks().to_batches()[0]
+                        teaching[t].learn(other, Rows.read(batch, len(meta)), label, np.asarray(batch.column("sure")))
+                        given[t, v] |= set(batch.column("key").to_pylist())
+                        if history is not None:
+                            history.append((turn, t, v, batch.column("key").to_pylist()))
+    models = {t: x.fitted() for t, x in teaching.items()}
+
+    def scores(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            x, columns = Rows.read(batch, len(meta)), [batch.column("doc_id")]
+            for t in targets:
+                a, b, p = (_share(z) for z in (models[t].parts(x) if t in models else [np.zeros(batch.num_rows)] * 3))
+                columns += [pa.array(p), pa.array(a), pa.array(b), pa.array(p >= 0.5)]
+            yield pa.RecordBatch.from_arrays(columns, ["doc_id", *[c for t in targets for c in (f"{t}_score", f"{t}_text", f"{t}_meta", t)]])
+
+    ddl = "doc_id long" + "".join(f", `{t}_score` double, `{t}_text` double, `{t}_meta` double, `{t}` boolean" for t in targets)
+    return rows.select("doc_id", "words", "shape", "meta").mapInArrow(scores, ddl)
