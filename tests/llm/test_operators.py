@@ -79,6 +79,23 @@ def test_lines_any(spark, rows):
     assert Counter(tuple(r) for r in dedup_lines(df).select("doc_id", "n_lines", "n_dropped", "kept_text").collect()) == Counter(brute.kept_lines(rows))
 
 
+def test_clashing_names(docs, spark):
+    """Columns named like an operator's own, inner ones included, pass through or are replaced as stated; nothing is ambiguous."""
+    from pyspark.sql import functions as F
+
+    from voxelith.llm.quality import keep_quality
+
+    for c in ("__n", "__did", "__tid", "__words", "__copies", "__row", "__in", "next_text", "counts", "count", "did", "tid", "found", "own_text", "row", "id", "null", "k1", "rank", "range", "ghost", "to", "kind", "label_0"):
+        docs = docs.withColumn(c, F.lit("own"))
+    n = len(EDGE)
+    for made in (dedup_lines(docs), mixing.mix_documents(docs), nearcopies.drop_near_copies(docs), keep_quality(docs, min_words=0, max_repeat_percent=100, rules={})):
+        rows = made.select("__n", "did", "n_words", "row", "k1").collect()
+        assert 0 < len(rows) <= 3 * n and {tuple(r) for r in rows} == {("own", "own", "n_words", "own", "own")}
+    assert quality_rules(docs).count() == syncmers.edited_pairs(docs).count() == pitmanyor.score(docs).count() == simhash.near_duplicates(docs).count() == dedup_substrings(docs).count() == n
+    pages = docs.select("*", F.col("doc_id").alias("page_id"), F.lit("http://h").alias("url"), F.col("text").alias("html"))
+    assert html.extract_main_text(pages).count() == n
+
+
 def test_substrings(docs, empty):
     rows = dedup_substrings(docs, 35).collect()
     assert Counter((r.doc_id, r.n_words, r.n_removed, r.kept_text) for r in rows) == Counter(brute.kept_windows(pairs(), 35))

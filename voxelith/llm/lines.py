@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from voxelith.llm.common import SPACE_CHARS, ascii_lower, shuffle_partitions
+from voxelith.llm.common import SPACE_CHARS, ascii_lower, shuffle_partitions, unused
 
 #: A line's occurrences are dealt to so many groups by document, so that a very common line is no single task's.
 SALTS = 64
@@ -63,23 +63,22 @@ def dedup_lines(docs: DataFrame, min_chars: int = 10) -> DataFrame:
     points always stay. Of the others only the smallest doc_id keeps its lines, repeats
     included. Other columns of docs pass through, whatever their names, except the four added.
     """
-    drops = dropped_lines(docs.select("doc_id", "text"), min_chars).select(
-        F.col("did").alias("__did"), F.col("tid").alias("__tid"), F.col("n_dropped").alias("__n"), F.col("words").alias("__words")
-    )
-    text = F.coalesce("text", F.lit(""))
-    keys = (F.coalesce(F.col("doc_id"), F.lit(FIRST_ID)) == F.col("__did")) & (F.xxhash64("text") == F.col("__tid"))
-    dense = F.transform(F.sequence(F.lit(0), F.shiftright(F.col("n_lines").cast("int") - 1, 6)), lambda k: F.coalesce(F.col("__words")[k], F.lit(0).cast("long")))
     own = docs.drop("n_lines", "n_dropped", "drop_words", "kept_text")
+    did, tid, count, found = unused(own, "did", "tid", "count", "found")
+    drops = dropped_lines(docs.select("doc_id", "text"), min_chars).select(F.col("did").alias(did), F.col("tid").alias(tid), F.col("n_dropped").alias(count), F.col("words").alias(found))
+    text = F.coalesce("text", F.lit(""))
+    keys = (F.coalesce(F.col("doc_id"), F.lit(FIRST_ID)) == F.col(did)) & (F.xxhash64("text") == F.col(tid))
+    dense = F.transform(F.sequence(F.lit(0), F.shiftright(F.col("n_lines").cast("int") - 1, 6)), lambda k: F.coalesce(F.col(found)[k], F.lit(0).cast("long")))
     joined = (
         own.join(drops, keys, "left")
         .withColumn("n_lines", F.size(F.split(text, "\n")).cast("long"))
-        .withColumn("drop_words", F.when(F.col("__n").isNotNull(), dense))
+        .withColumn("drop_words", F.when(F.col(count).isNotNull(), dense))
     )
     kept = F.filter(F.split(text, "\n"), lambda _, i: F.call_function("getbit", F.get("drop_words", F.shiftright(i, 6)), i.bitwiseAND(F.lit(63))) == 0)
     return joined.select(
         *[F.col(c) for c in own.columns],
         "n_lines",
-        F.coalesce("__n", F.lit(0)).cast("long").alias("n_dropped"),
+        F.coalesce(count, F.lit(0)).cast("long").alias("n_dropped"),
         "drop_words",
         F.when(F.col("drop_words").isNull(), text).otherwise(F.array_join(kept, "\n")).alias("kept_text"),
     )

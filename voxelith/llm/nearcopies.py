@@ -13,7 +13,7 @@ import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from voxelith.llm.common import byte_buffer, checkpointed, lower_bytes, mix, shuffle_partitions
+from voxelith.llm.common import byte_buffer, checkpointed, lower_bytes, mix, shuffle_partitions, unused
 from voxelith.llm.simhash import _BIT, components, planes, within
 
 #: 64-bit limbs of a fingerprint; block keys of a document and least shingle hashes that make one.
@@ -178,13 +178,14 @@ def near_copies(docs: DataFrame, size: int = 5, similarity: float = 0.8) -> Data
             data = lower_bytes(raw).tobytes()
             rows = [data[a:b].split() for a, b in zip(at[:-1].tolist(), at[1:].tolist(), strict=True)]
             made = [signature(w, size) for w in rows]
-            nodes = np.array([xxhash.xxh64_intdigest(b" ".join(w)) for w in rows], np.uint64).view(np.int64)
+            nodes, other = (np.array([xxhash.xxh64_intdigest(b" ".join(w), seed=k) for w in rows], np.uint64).view(np.int64) for k in (0, 1))
             limbs = [pa.array([m[0][k] for m in made], pa.int64()) for k in range(LIMBS)]
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("tid"), pa.array(nodes), *limbs, pa.array([m[1] for m in made], pa.list_(pa.int64()))], ["doc_id", "tid", "node", *[f"f{k}" for k in range(LIMBS)], "keys"])
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("tid"), pa.array(nodes), pa.array(other), *limbs, pa.array([m[1] for m in made], pa.list_(pa.int64()))], ["doc_id", "tid", "node", "other", *[f"f{k}" for k in range(LIMBS)], "keys"])
 
     limbs = [f"f{k}" for k in range(LIMBS)]
-    rows = checkpointed(docs.select("doc_id", F.xxhash64("text").alias("tid"), "text").mapInArrow(run, f"doc_id long, tid long, node long, {', '.join(f'{c} long' for c in limbs)}, keys array<long>"))
-    own = rows.groupBy("node").agg(F.min(F.struct("doc_id", "tid")).alias("least"), *[F.first(c).alias(c) for c in limbs], F.first("keys").alias("keys"))
+    rows = checkpointed(docs.select("doc_id", F.xxhash64("text").alias("tid"), "text").mapInArrow(run, f"doc_id long, tid long, node long, other long, {', '.join(f'{c} long' for c in limbs)}, keys array<long>"))
+    pick = F.min(F.struct("other", "doc_id", "tid")).alias("least")
+    own = rows.groupBy("node").agg(pick, *[F.min_by(c, "other").alias(c) for c in limbs], F.min_by("keys", "other").alias("keys"))
     keyed = own.select("node", *limbs, F.explode("keys").alias("key")).repartition(shuffle_partitions(docs.sparkSession), "key").sortWithinPartitions("key", "node")
     found = components(keyed.mapInArrow(partial(_scan, radius=radius_for(similarity)), "a long, b long").where("a <> b").distinct())
     grouped = found.select("node", F.col("root").alias("group")).unionByName(found.select(F.col("root").alias("node"), F.col("root").alias("group"))).distinct()
@@ -193,15 +194,20 @@ def near_copies(docs: DataFrame, size: int = 5, similarity: float = 0.8) -> Data
     dealt = texts.select("group", "node", "text").repartition(shuffle_partitions(docs.sparkSession), "group").sortWithinPartitions("group", "node")
     sure = dealt.mapInArrow(partial(_confirm, size=size, similarity=similarity), "node long, root long")
     rooted = own.select("node", "least").join(sure, "node", "left").withColumn("root", F.coalesce("root", "node"))
-    named = rooted.groupBy("root").agg(F.min("least").alias("best"), F.min("least.doc_id").alias("component_id"))
-    of = rooted.select("node", "root").join(named, "root").select("node", "best", "component_id")
+    rank = F.struct("least.doc_id", "least.tid")
+    named = rooted.groupBy("root").agg(F.min(rank).alias("best"), F.min("least.doc_id").alias("component_id"))
+    of = rooted.select("node", "root", F.col("least.other").alias("told")).join(named, "root").select("node", "told", "best", "component_id")
     stays = F.col("doc_id").eqNullSafe(F.col("best.doc_id")) & (F.col("tid") == F.col("best.tid"))
-    return rows.select("doc_id", "tid", "node").join(of, "node").select("doc_id", "tid", "component_id", stays.alias("stays"))
+    # Another text of the same hash took no part in the search: it stays, and is its own group.
+    lone = F.col("other") != F.col("told")
+    return rows.select("doc_id", "tid", "node", "other").join(of, "node").select("doc_id", "tid", F.when(lone, F.col("doc_id")).otherwise(F.col("component_id")).alias("component_id"), (stays | lone).alias("stays"))
 
 
 def drop_near_copies(docs: DataFrame, size: int = 5, similarity: float = 0.8) -> DataFrame:
     """The rows of docs that stay, one of each group, with docs' own columns. Equal rows count as one."""
-    kept = near_copies(docs, size, similarity).where("stays").select(F.coalesce("doc_id", F.lit(0)).alias("__id"), F.col("doc_id").isNull().alias("__null"), F.col("tid").alias("__tid")).distinct()
-    same = (F.coalesce(docs["doc_id"], F.lit(0)) == kept["__id"]) & (docs["doc_id"].isNull() == kept["__null"]) & (F.xxhash64(docs["text"]) == kept["__tid"])
-    joined = docs.join(kept, same).withColumn("__row", F.row_number().over(Window.partitionBy("__id", "__null", "__tid").orderBy("__id")))
-    return joined.where("__row = 1").select(*[F.col(c) for c in docs.columns])
+    id_, null, tid, row = unused(docs, "id", "null", "tid", "row")
+    found = near_copies(docs.select("doc_id", "text"), size, similarity).where("stays")
+    kept = found.select(F.coalesce("doc_id", F.lit(0)).alias(id_), F.col("doc_id").isNull().alias(null), F.col("tid").alias(tid)).distinct()
+    own = docs.select("*", F.coalesce("doc_id", F.lit(0)).alias(id_), F.col("doc_id").isNull().alias(null), F.xxhash64("text").alias(tid))
+    joined = own.join(kept, [id_, null, tid]).withColumn(row, F.row_number().over(Window.partitionBy(id_, null, tid).orderBy(id_)))
+    return joined.where(F.col(row) == 1).select(*[F.col(c) for c in docs.columns])

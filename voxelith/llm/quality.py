@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from voxelith.llm.common import let, words
+from voxelith.llm.common import let, unused, words
 
 #: Very common short words of English, German, French and Spanish. Fixed values.
 STOP_WORDS = (
@@ -55,11 +55,12 @@ def quality_counts(docs: DataFrame) -> DataFrame:
         F.size(F.filter(w, lambda x: x.endswith("!!"))).cast("long").alias("n_loud"),
     )
     count = F.struct(let(words(F.col("text")), both).alias("w"), let(lines, lambda x: F.struct(F.size(x).cast("long").alias("n"), (F.size(x) - F.size(F.array_distinct(x))).cast("long").alias("dup"))).alias("l"))
-    return docs.withColumn("__c", count).select(
+    (made,) = unused(docs, "counts")
+    return docs.withColumn(made, count).select(
         *[F.col(c) for c in docs.columns],
-        *[F.col(f"__c.w.{c}").alias(c) for c in ("n_words", "word_chars", "n_repeat_words", "n_stop_words", "n_loud")],
-        F.col("__c.l.n").alias("n_lines"),
-        F.col("__c.l.dup").alias("n_dup_lines"),
+        *[F.col(f"{made}.w.{c}").alias(c) for c in ("n_words", "word_chars", "n_repeat_words", "n_stop_words", "n_loud")],
+        F.col(f"{made}.l.n").alias("n_lines"),
+        F.col(f"{made}.l.dup").alias("n_dup_lines"),
         length(r"[^#*$%&|<>]+").alias("n_symbols"),
         length(r"[^A-Z]+").alias("n_upper"),
     )
@@ -97,5 +98,9 @@ def keep_quality(docs: DataFrame, **given) -> DataFrame:
     The row number is there for the optimizer: it doesn't move a filter below a projection
     with one, and so doesn't copy the counts into the filter once for each rule.
     """
-    kept = quality_rules(docs, **given).select("*", F.monotonically_increasing_id().alias("__n")).where(F.col("kept") & (F.col("__n") >= 0))
-    return kept.select(*[F.col(c) for c in docs.columns])
+    names = dict(zip(docs.columns, unused(docs, *[f"own_{c}" for c in docs.columns]), strict=True))
+    apart = docs.select("text", *[F.col(c).alias(n) for c, n in names.items()])  # whatever they are named, no added column replaces them
+    kept = quality_rules(apart, **given)
+    (row,) = unused(kept, "row")
+    kept = kept.select("*", F.monotonically_increasing_id().alias(row)).where(F.col("kept") & (F.col(row) >= 0))
+    return kept.select(*[F.col(n).alias(c) for c, n in names.items()])
