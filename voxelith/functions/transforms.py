@@ -124,6 +124,7 @@ UNITS = {
     "centimeter": "cm centimeter centimeters centimetre centimetres",
     "meter": "m meter meters metre metres",
     "inch": "in inch inches",
+    "foot": "ft foot feet",
     "nanosecond": "ns nanosecond nanoseconds",
     "microsecond": "µs μs us microsecond microseconds",
     "millisecond": "ms millisecond milliseconds",

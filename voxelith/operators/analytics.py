@@ -11,7 +11,10 @@ from voxelith.operators.views import ArrayView
 
 
 def stats(view: ArrayView, by: Sequence[str] = ()) -> DataFrame:
-    """min, max, mean and number of values, overall or by axes."""
+    """min, max, mean and number of values, overall or by axes. A store's chunks are aggregated where they are read."""
+    if (partial := view.partials({n: 1 for n in by})) is not None:
+        made = [F.min("min_v").alias("min_v"), F.max("max_v").alias("max_v"), (F.sum("sum_v") / F.sum("n")).alias("mean_v"), F.sum("n").alias("n")]
+        return partial.groupBy(*by).agg(*made) if by else partial.agg(*made[:3], F.coalesce(F.sum("n"), F.lit(0)).alias("n"))
     made = [F.min("value").alias("min_v"), F.max("value").alias("max_v"), F.avg(F.col("value").cast("double")).alias("mean_v"), F.count("value").alias("n")]
     return view.cells.groupBy(*by).agg(*made) if by else view.cells.agg(*made)
 
@@ -48,6 +51,8 @@ def best_level_rows(levels: DataFrame, target: float) -> DataFrame:
 
 def tile_sums(view: ArrayView, height: int, width: int) -> DataFrame:
     """The sum of each tile of y and x."""
+    if (partial := view.partials({"y": height, "x": width})) is not None:
+        return partial.groupBy(F.col("y").alias("ty"), F.col("x").alias("tx")).agg(F.sum("sum_v").alias("total"))
     ty, tx = F.expr(f"y div {height}").alias("ty"), F.expr(f"x div {width}").alias("tx")
     return view.cells.groupBy(ty, tx).agg(F.sum("value").alias("total"))
 
@@ -65,6 +70,8 @@ def channel_planes(view: ArrayView, t: int = 0, z: int = 0) -> DataFrame:
 
 
 def any_nonzero(view: ArrayView) -> DataFrame:
+    if (partial := view.partials({})) is not None:
+        return partial.agg(F.coalesce(F.max((F.col("min_v") != 0) | (F.col("max_v") != 0)), F.lit(False)).alias("any_nonzero"))
     return view.cells.agg(F.coalesce(F.max(F.col("value") != 0), F.lit(False)).alias("any_nonzero"))
 
 
@@ -76,11 +83,13 @@ def first_values(view: ArrayView, n: int = 20) -> DataFrame:
 def by_roi(view: ArrayView, rois: DataFrame) -> DataFrame:
     """Count and sum of the cells in each of many boxes (roi_id, <axis>_start, <axis>_end, half-open).
 
-    Boxes are cut by chunk, so that the join is on equal chunks and only then by range.
+    Boxes are cut by chunk, so that the join is on equal chunks and only then by range. A box
+    without cells, an empty one or one outside of the array counts 0, its sum is null.
     """
-    spans = rois
+    spans = rois.where(" AND ".join(f"{n}_start < {n}_end" for n in view.names))
     for n, c in zip(view.names, view.chunks, strict=True):
         spans = spans.withColumn(f"c{n}", F.explode(F.sequence(F.expr(f"{n}_start div {c}"), F.expr(f"({n}_end - 1) div {c}"))))
     cells = view.cells.select("*", *view.chunk_columns())
     inside = " AND ".join(f"{n} >= {n}_start AND {n} < {n}_end" for n in view.names)
-    return cells.join(spans, [f"c{n}" for n in view.names]).where(inside).groupBy("roi_id").agg(F.count(F.lit(1)).alias("n_cells"), F.sum("value").alias("total"))
+    found = cells.join(spans, [f"c{n}" for n in view.names]).where(inside).groupBy("roi_id").agg(F.count(F.lit(1)).alias("n_cells"), F.sum("value").alias("total"))
+    return rois.select("roi_id").distinct().join(found, "roi_id", "left").select("roi_id", F.coalesce("n_cells", F.lit(0)).alias("n_cells"), "total")

@@ -5,7 +5,7 @@ from __future__ import annotations
 import decimal
 import json
 import math
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -19,7 +19,7 @@ from voxelith.sources import metadata as M
 from voxelith.sources.errors import MetadataError, NodeNotFoundError, UnsupportedError
 from voxelith.sources.omexml import Image, OmeXml, try_parse
 from voxelith.sources.store import Store, join_key, open_store
-from voxelith.sources.zarr import read_cells, read_region, validate_region, write_cells
+from voxelith.sources.zarr import read_cells, read_fields, read_region, validate_region, write_cells
 
 
 @dataclass
@@ -99,8 +99,9 @@ class Level:
         """The level's cells; regions of the view read only the chunks that they touch."""
         names = [a.name for a in self.axes]
         load = lambda start, end: read_cells(self.image.spark, self.image.uri, self.path, start, end, names, **options)
+        summary = lambda start, end, by: read_cells(self.image.spark, self.image.uri, self.path, start, end, names, mode="partials", by=",".join(f"{n}:{k}" for n, k in by.items()), **options)
         scale, translation = self.transform
-        return ArrayView(read_cells(self.image.spark, self.image.uri, self.path, axes=names, **options), self.axes, self.shape, self.data_type.name, self.array.read_chunks, scale, translation, load=load)
+        return ArrayView(read_cells(self.image.spark, self.image.uri, self.path, axes=names, **options), self.axes, self.shape, self.data_type.name, self.array.read_chunks, scale, translation, load=load, summary=summary)
 
     def read(self, start, end, zero: bool = False):
         """A small region as a NumPy array, read in this process."""
@@ -152,6 +153,12 @@ class ImageNode(Node):
         """In declared order, finest first by convention."""
         return [self.level(k, multiscale) for k in range(len(self.multiscales[multiscale].datasets))]
 
+    def progressive(self, region: Callable[[ArrayView], ArrayView] | None = None, multiscale: int = 0) -> Iterator[tuple[Level, ArrayView]]:
+        """Levels from the coarsest to the finest with their views, or a part of each: the first is there soon, each next one is sharper."""
+        for level in reversed(self.levels(multiscale)):
+            view = level.view()
+            yield level, region(view) if region else view
+
     def all_cells(self, multiscale: int = 0) -> DataFrame:
         """Cells of all levels with their level's index."""
         out = None
@@ -226,14 +233,8 @@ class PlateNode(Node):
         return self.spark.createDataFrame(rows, "well string, field int, acquisition int, path string")
 
     def cells(self, level: int = 0) -> DataFrame:
-        """All fields' cells with well and field, to be grouped by them."""
-        out = None
-        for w in self.plate.wells:
-            node = self.well(w.path)
-            for k in range(len(node.fields)):
-                own = node.field(k).level(level).view().cells.select("*", F.lit(w.path).alias("well"), F.lit(k).alias("field"))
-                out = own if out is None else out.unionByName(own)
-        return out
+        """All fields' cells with well and field, to be grouped by them: one source, whose tasks read the wells' metadata themselves."""
+        return read_fields(self.spark, self.uri, [join_key(self.path, w.path) for w in self.plate.wells], len(self.path) + 1 if self.path else 0, level)
 
 
 class CollectionNode(Node):
@@ -249,8 +250,8 @@ class CollectionNode(Node):
     def ome_xml(self) -> OmeXml | None:
         return try_parse(self.store.read(join_key(self.path, "OME", "METADATA.ome.xml")))
 
-    def series_paths(self, probe: int = 1000) -> list[str]:
-        """Listed series; else as many as the OME-XML has images; else those found by number, up to the first gap."""
+    def series_paths(self, probe: int | None = None) -> list[str]:
+        """Listed series; else as many as the OME-XML has images; else those found by number, up to the first gap or ``probe`` of them."""
         listed = M.bioformats2raw(self.attributes, self._ome()).series
         if listed is not None:
             return list(listed)
@@ -258,7 +259,7 @@ class CollectionNode(Node):
         if xml is not None and xml.images:
             return [str(k) for k in range(len(xml.images))]
         out: list[str] = []
-        while len(out) < probe and self.has_child(str(len(out))):
+        while (probe is None or len(out) < probe) and self.has_child(str(len(out))):
             out.append(str(len(out)))
         return out
 
@@ -351,9 +352,27 @@ def child_rows(tree: DataFrame, parent: str = "") -> DataFrame:
     return tree.where(F.col("parent") == parent).select("name").distinct().orderBy("name")
 
 
+def _property(entries: Column, name: str) -> Column:
+    """A property's JSON text by name, whatever its case; an exact name first; null counts as absent."""
+    of = lambda same: F.get(F.filter(entries, same), F.lit(0))["value"]
+    exact, loose = of(lambda e: e["key"] == name), of(lambda e: F.lower(e["key"]) == name.lower())
+    return F.when(F.exists(entries, lambda e: e["key"] == name), exact).otherwise(loose)
+
+
 def ome_type_column(attributes: Column) -> Column:
-    """metadata.node_type of attributes as JSON text, in the JVM."""
-    inside = lambda path: F.get_json_object(attributes, path)
-    both = lambda name: F.coalesce(inside(f"$['ome']['{name}']"), inside(f"$['{name}']")).isNotNull()
-    image = F.when(both("image-label"), "label").otherwise("image")
-    return F.when(both("plate"), "plate").when(both("bioformats2raw.layout"), "bioformats2raw").when(both("well"), "well").when(both("labels"), "labels").when(both("multiscales"), image).otherwise("unknown")
+    """metadata.node_type of attributes as JSON text, in the JVM: the document and its envelope are parsed once each."""
+    entries = lambda text: F.map_entries(F.from_json(text, "map<string,string>"))
+    once = lambda value, body: F.get(F.transform(F.array(value), body), F.lit(0))
+
+    def inside(own: Column) -> Column:
+        envelope = _property(own, "ome")
+
+        def kind(ome: Column) -> Column:
+            has = lambda name: _property(ome, name).isNotNull()
+            image = F.when(has("image-label"), "label").otherwise("image")
+            layout = has("bioformats2raw.layout") | _property(own, "bioformats2raw.layout").isNotNull()
+            return F.when(has("plate"), "plate").when(layout, "bioformats2raw").when(has("well"), "well").when(has("labels"), "labels").when(has("multiscales"), image).otherwise("unknown")
+
+        return once(F.when(F.substring(F.ltrim(envelope), 1, 1) == "{", entries(envelope)).otherwise(own), kind)
+
+    return F.coalesce(once(entries(attributes), inside), F.lit("unknown"))

@@ -14,6 +14,7 @@ from collections.abc import Callable
 from dataclasses import dataclass
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -21,6 +22,7 @@ from voxelith.functions.pixels import convert
 from voxelith.functions.transforms import PhysicalROI, PixelRegion, axis_pixel_sizes, physical_to_pixel, pixel_to_physical
 from voxelith.sources.errors import RegionError
 from voxelith.sources.metadata import TYPES, Axis
+from voxelith.sources.store import store_or_new
 from voxelith.sources.zarr import chunk_range, validate_region
 
 
@@ -38,6 +40,8 @@ class ArrayView:
     start: tuple[int, ...] = ()
     end: tuple[int, ...] = ()
     load: Callable[[tuple, tuple], DataFrame] | None = None
+    #: Partial aggregates of a box by some axes, made where chunks are read, if the view comes from a store: see ``partials``.
+    summary: Callable[[tuple, tuple, dict[str, int]], DataFrame] | None = None
 
     def __post_init__(self):
         if not self.start:
@@ -147,9 +151,13 @@ class ArrayView:
         origin, size = [], []
         for k, n in enumerate(self.names):
             origin.append(float(given.get(n) or 0.0))
-            size.append(self.scale[k] if n in ("t", "c", "z") else float(sizes.get(n) or whole.size[k]))
+            size.append(self.scale[k] if n in ("t", "c", "z") else float(whole.size[k] if sizes.get(n) is None else sizes[n]))
         return self.physical_roi(PhysicalROI(tuple(origin), tuple(size)))
 
+    def partials(self, by: dict[str, int]) -> DataFrame | None:
+        """(<axis> div <size> of ``by``, min_v, max_v, sum_v, n): one row for each chunk and group, to be aggregated again; none if cells are all there is."""
+        return self.summary(self.start, self.end, by) if self.summary else None
+
     # --- shapes of the result
 
     def squeeze(self) -> ArrayView:
@@ -157,7 +165,7 @@ class ArrayView:
         keep = [k for k, n in enumerate(self.extent) if n > 1] or [self.rank - 1]
         pick = lambda x: tuple(x[k] for k in keep)
         names = [self.names[k] for k in keep]
-        return dataclasses.replace(self, cells=self.cells.select(*names, "value"), axes=pick(self.axes), shape=pick(self.shape), chunks=pick(self.chunks), scale=pick(self.scale), translation=pick(self.translation), start=pick(self.start), end=pick(self.end), load=None)
+        return dataclasses.replace(self, cells=self.cells.select(*names, "value"), axes=pick(self.axes), shape=pick(self.shape), chunks=pick(self.chunks), scale=pick(self.scale), translation=pick(self.translation), start=pick(self.start), end=pick(self.end), load=None, summary=None)
 
     def densify(self, fill: float | int = 0) -> DataFrame:
         """Every cell of the view, absent ones with ``fill``: the grid of axes, left-joined to the cells."""
@@ -204,6 +212,34 @@ class ArrayView:
         """Cells with their value in a pixel format."""
         return self.cells.select(*self.names, convert(F.col("value"), self.dtype, format).alias(name))
 
+    def to_raw(self, folder: str, part_cells: int = 1 << 24) -> DataFrame:
+        """Writes the view's bytes, little-endian, last axis fastest, as files part-000000000000.raw and on of ``part_cells`` cells each; (part, n_bytes) of each.
+
+        Each part is one task's, so that a view of any size is exported without the driver; absent
+        cells are 0. The files in order of their names make up the whole. The folder must be there.
+        """
+        kind, total, names = TYPES[self.dtype].numpy, self.element_count, self.names
+        at, stride = F.lit(0).cast("long"), 1
+        for n, s, size in reversed(list(zip(names, self.start, self.extent, strict=True))):
+            at, stride = at + (F.col(n) - s) * stride, stride * size
+        spark = self.cells.sparkSession
+        parts = spark.range(-(-total // part_cells)).select(F.col("id").alias("part"), F.lit(None).cast("long").alias("at"), F.lit(None).cast(dict(self.cells.dtypes)["value"]).alias("value"))
+        cells = self.cells.select(F.lit(0).cast("long").alias("part"), at.alias("at"), "value").withColumn("part", F.floor(F.col("at") / part_cells))
+
+        def write(table: pa.Table) -> pa.Table:
+            part = table["part"][0].as_py()
+            table = table.filter(table["at"].is_valid())
+            out = np.zeros(min(part_cells, total - part * part_cells), kind)
+            if len(table):
+                values = table["value"].combine_chunks()
+                values = values.cast(pa.uint64()) if pa.types.is_decimal(values.type) else values
+                out[np.asarray(table["at"]) - part * part_cells] = np.asarray(values).astype(kind)
+            store_or_new(folder).write(f"part-{part:012d}.raw", out.tobytes())
+            return pa.table({"part": pa.array([part], pa.int64()), "n_bytes": pa.array([out.nbytes], pa.int64())})
+
+        n = int(spark.conf.get("spark.sql.shuffle.partitions"))
+        return parts.unionByName(cells).repartition(n, "part").groupBy("part").applyInArrow(write, "part long, n_bytes long")
+
     def to_dense(self):
         """A NumPy array of the view on the driver: for small views."""
         out = np.zeros(self.extent, TYPES[self.dtype].numpy)

@@ -344,6 +344,7 @@ class Sharding:
     pipeline: Pipeline
     index: Pipeline
     at_end: bool
+    wrapped: bool = False
 
     def per_shard(self, shard: tuple[int, ...]) -> tuple[int, ...]:
         return tuple(-(-s // i) for s, i in zip(shard, self.inner, strict=True))
@@ -380,7 +381,7 @@ def _made(entry, item: int) -> Codec:
 
 
 def pipeline_v3(codecs: list, item: int) -> tuple[Pipeline, Sharding | None]:
-    """A v3 array's pipeline, and its sharding if it has any; codecs around sharding don't apply to inner chunks."""
+    """A v3 array's pipeline, and its sharding if it has any. A shard can't be read in parts if another codec lies around it: reading one is an error."""
     for entry in codecs:
         if not isinstance(entry, str) and entry.get("name") == "sharding_indexed":
             config = entry.get("configuration") or {}
@@ -389,7 +390,7 @@ def pipeline_v3(codecs: list, item: int) -> tuple[Pipeline, Sharding | None]:
                 raise MetadataError("sharding without chunk_shape")
             inside = Pipeline(tuple(_made(c, item) for c in _setting(config, "codecs", None) or ["bytes"]))
             index = Pipeline(tuple(_made(c, 8) for c in _setting(config, "index_codecs", None) or ["bytes"]))
-            return inside, Sharding(tuple(int(x) for x in inner), inside, index, str(_setting(config, "index_location", "end")).lower() != "start")
+            return inside, Sharding(tuple(int(x) for x in inner), inside, index, str(_setting(config, "index_location", "end")).lower() != "start", len(codecs) > 1)
     return Pipeline(tuple(_made(c, item) for c in codecs or ["bytes"])), None
 
 

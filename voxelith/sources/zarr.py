@@ -3,13 +3,15 @@
     spark.read.format("zarr").load("/data/image.zarr/0")
 
 Options: ``path`` (store, or store and array), ``array`` (array within the store), ``start`` and
-``end`` (comma-separated region), ``axes`` (comma-separated names), ``mode`` (cells or chunks),
-``fillMode`` (declared or zero) and ``partitionBytes`` (decoded bytes of a task).
+``end`` (comma-separated region), ``axes`` (comma-separated names), ``mode`` (cells, chunks or
+partials), ``by`` (for partials: axis:size, comma-separated), ``wells`` and ``level`` (cells of a
+plate's fields), ``fillMode`` (declared or zero) and ``partitionBytes`` (decoded bytes of a task).
 """
 
 from __future__ import annotations
 
 import itertools
+import json
 import math
 import urllib.parse
 from collections.abc import Iterable, Iterator
@@ -24,10 +26,12 @@ from pyspark.sql.types import StructType
 
 from voxelith.sources.codecs import EMPTY
 from voxelith.sources.errors import CodecError, MetadataError, NodeNotFoundError, RegionError, UnsupportedError
-from voxelith.sources.metadata import ArrayMeta, effective_axes, multiscales, node_type, open_array, open_group
-from voxelith.sources.store import Store, join_key, open_store
+from voxelith.sources.metadata import ArrayMeta, effective_axes, multiscales, node_type, open_array, open_group, well
+from voxelith.sources.store import Store, is_metadata_key, join_key, open_store
 
 PARTITION_BYTES = 8 << 20
+#: Tasks of a read, at most: beyond, each reads more.
+MOST_PARTITIONS = 100_000
 BATCH_CELLS = 1 << 18
 CHUNKS_SCHEMA = "array_path string, chunk_coord array<bigint>, store_key string, payload binary, present boolean"
 
@@ -99,6 +103,8 @@ def read_chunk(store: Store, meta: ArrayMeta, coord, zero: bool = False) -> np.n
 def shard_index(store: Store, meta: ArrayMeta, coord) -> tuple[str, np.ndarray] | None:
     """The key of a shard and its index, by one ranged read; none if the shard is absent."""
     s = meta.sharding
+    if s.wrapped:
+        raise UnsupportedError("codecs around sharding_indexed")
     size = s.index_bytes(meta.chunks)
     for key in filter(None, (meta.key(coord), meta.other_key(coord))):
         raw = store.read_range(key, -size if s.at_end else 0, size)
@@ -215,6 +221,8 @@ class ZarrReader(DataSourceReader):
         if ints("start") or ints("end"):
             start, end = validate_region(meta.shape, start, end)
         self.start, self.end = list(start), list(end)
+        self.only: dict[int, np.ndarray] = {}
+        self.by = [(axes.index(n), int(k)) for n, _, k in (x.partition(":") for x in options.get("by", "").split(",") if x)]
 
     def pushFilters(self, filters: list) -> Iterable:
         """Comparisons of axes with numbers narrow the box; Spark still checks every filter."""
@@ -224,6 +232,9 @@ class ZarrReader(DataSourceReader):
                 k = self.axes.index(name)
                 if isinstance(f, (EqualTo, In)):
                     values = [v for v in (f.value if isinstance(f, In) else (f.value,)) if v is not None]
+                    if isinstance(f, In) and all(isinstance(v, int) for v in values):
+                        known = np.unique(np.array(values, np.int64))
+                        self.only[k] = np.intersect1d(self.only[k], known) if k in self.only else known
                     lo, hi = (min(values), max(values) + 1) if values else (self.end[k], self.end[k])
                 elif isinstance(f, GreaterThanOrEqual):
                     lo, hi = f.value, self.end[k]
@@ -245,7 +256,7 @@ class ZarrReader(DataSourceReader):
     def partitions(self) -> list[BoxPart]:
         _, size = self._box()
         total = math.prod(size) if all(e > s for s, e in zip(self.start, self.end, strict=True)) else 0
-        each = max(1, self.bytes // max(1, math.prod(self.meta.chunks) * self.meta.type.size))
+        each = max(1, self.bytes // max(1, math.prod(self.meta.chunks) * self.meta.type.size), -(-total // MOST_PARTITIONS))
         return [BoxPart(a, min(total, a + each)) for a in range(0, total, each)] or [BoxPart(0, 0)]
 
     def read(self, part: BoxPart) -> Iterator[pa.RecordBatch]:
@@ -255,9 +266,9 @@ class ZarrReader(DataSourceReader):
             coord = tuple(int(a + i) for a, i in zip(lo, np.unravel_index(flat, size), strict=True))
             if self.mode == "chunks":
                 yield self._chunk_row(store, coord)
-            else:
+            elif all(np.diff(np.searchsorted(known, [coord[k] * self.meta.chunks[k], (coord[k] + 1) * self.meta.chunks[k]]))[0] for k, known in self.only.items()):
                 for origin, values in read_blocks(store, self.meta, coord, self.start, self.end, self.zero):
-                    yield from cell_batches(origin, values, self.axes)
+                    yield from cell_batches(origin, values, self.axes) if self.mode == "cells" else [partials(origin, values, self.axes, self.by)]
 
     def _chunk_row(self, store: Store, coord) -> pa.RecordBatch:
         raw = read_key(store, self.meta, coord)
@@ -278,6 +289,26 @@ def spark_values(values: np.ndarray) -> pa.Array:
     return pa.array(flat.astype(wider) if wider else flat)
 
 
+def partials(origin, values: np.ndarray, axes, by: list[tuple[int, int]]) -> pa.RecordBatch:
+    """Least, greatest, sum and number of a block's values in each group of ``by``: indices of axes divided by a size."""
+    wide = values.astype(np.float64 if values.dtype.kind == "f" or values.dtype.itemsize == 8 else np.int64)
+    least = most = values.astype(np.uint8) if values.dtype.kind == "b" else values
+    sums, numbers = wide, np.ones((), np.int64)
+    order, lines = [k for k, _ in by], []
+    for k in range(values.ndim):
+        size = dict(by).get(k)
+        cells = np.arange(origin[k], origin[k] + values.shape[k])
+        groups, first = np.unique(cells // size if size else np.zeros_like(cells), return_index=True)
+        least, most, sums = (f.reduceat(x, first, axis=k) for f, x in ((np.minimum, least), (np.maximum, most), (np.add, sums)))
+        each = np.diff(np.append(first, len(cells))).reshape([-1 if j == k else 1 for j in range(values.ndim)])
+        numbers = numbers * each
+        lines.append(groups.reshape(each.shape))
+    shape = least.shape
+    columns = [pa.array(np.broadcast_to(lines[k], shape).ravel().astype(np.int64)) for k in order]
+    total = sums.ravel().astype(np.float64) if values.dtype.kind == "f" or values.dtype.itemsize == 8 else sums.ravel()
+    return pa.RecordBatch.from_arrays([*columns, spark_values(least.astype(values.dtype)), spark_values(most.astype(values.dtype)), pa.array(total), pa.array(np.broadcast_to(numbers, shape).ravel())], [*[axes[k] for k in order], "min_v", "max_v", "sum_v", "n"])
+
+
 def cell_batches(origin, values: np.ndarray, axes) -> Iterator[pa.RecordBatch]:
     """A block's cells as batches of one row each, cut along the first axis."""
     rest = max(1, values.size // max(1, values.shape[0])) if values.ndim else 1
@@ -292,9 +323,50 @@ def cell_batches(origin, values: np.ndarray, axes) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([*columns, spark_values(block)], [*axes, "value"])
 
 
+@dataclass
+class FieldsPart(InputPartition):
+    """A run of a plate's wells."""
+
+    wells: list[str]
+
+
+class FieldsReader(DataSourceReader):
+    """The cells of all fields of some wells, with well and field. Each task reads its wells' metadata; fields must have the axes and type of the first."""
+
+    def __init__(self, uri: str, wells: list[str], strip: int, level: int, axes: tuple[str, ...], kind: str, options):
+        self.uri, self.wells, self.strip, self.level, self.axes, self.kind = uri, wells, strip, level, axes, kind
+        self.zero = options.get("fillMode", "declared") == "zero"
+
+    def partitions(self) -> list[FieldsPart]:
+        each = max(1, -(-len(self.wells) // MOST_PARTITIONS))
+        return [FieldsPart(self.wells[a : a + each]) for a in range(0, len(self.wells), each)] or [FieldsPart([])]
+
+    def read(self, part: FieldsPart) -> Iterator[pa.RecordBatch]:
+        store = open_store(self.uri)
+        for path in part.wells:
+            for k, (_, name) in enumerate(well(open_group(store, path).attributes)):
+                meta, scale = level_array(store, join_key(path, name), self.level)
+                if tuple(a.name for a in effective_axes(scale, meta.rank)) != self.axes or meta.type.name != self.kind:
+                    raise MetadataError(f"{path}/{name} has other axes or another type than the first field")
+                whole = (0,) * meta.rank, meta.shape
+                for coord in chunk_coordinates(*whole, meta.chunks):
+                    for origin, values in read_blocks(store, meta, coord, *whole, self.zero):
+                        for batch in cell_batches(origin, values, self.axes):
+                            n = batch.num_rows
+                            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array([path[self.strip :]] * n), pa.array(np.full(n, k, np.int32))], [*self.axes, "value", "well", "field"])
+
+
+def level_array(store: Store, path: str, level: int):
+    """The array of an image's level, and the pyramid that it belongs to."""
+    scale = multiscales(open_group(store, path).attributes)[0]
+    if not 0 <= level < len(scale.datasets):
+        raise IndexError(f"no level {level}")
+    return open_array(store, join_key(path, scale.datasets[level].path)), scale
+
+
 @dataclass
 class Written(WriterCommitMessage):
-    chunks: int
+    keys: list[str]
 
 
 class ZarrWriter(DataSourceArrowWriter):
@@ -306,6 +378,8 @@ class ZarrWriter(DataSourceArrowWriter):
         if not hasattr(open_store(uri), "write") or urllib.parse.urlsplit(uri).scheme in ("http", "https"):
             raise UnsupportedError("writing over HTTP")
         self.uri, self.meta, self.axes, self.overwrite = uri, meta, axes, overwrite
+        #: Chunks that an overwriting write finds, and deletes unless it wrote them.
+        self.old = [k for k in open_store(uri).list(meta.path) if not is_metadata_key(k)] if overwrite else []
 
     def write(self, iterator: Iterator[pa.RecordBatch]) -> Written:
         store, held, cells, seen = open_store(self.uri), {}, 0, set()
@@ -348,13 +422,18 @@ class ZarrWriter(DataSourceArrowWriter):
                 flush()
                 held[last], cells = keep, sum(len(p) for p, _ in keep)
         flush()
-        return Written(len(seen))
+        return Written([self.meta.key(c) for c in seen] if self.overwrite else [])
 
     def commit(self, messages) -> None:
-        pass
+        """An overwritten array has the written chunks alone; all else is fill value."""
+        if self.overwrite:
+            store, new = open_store(self.uri), {k for m in messages if m for k in m.keys}
+            for key in self.old:
+                if key not in new:
+                    store.delete(key)
 
     def abort(self, messages) -> None:
-        pass
+        """Chunks are replaced one by one, each as a whole. A failed write leaves those that it finished, and is to be run again: cells laid over twice are the same."""
 
 
 def column_values(column: pa.Array, meta: ArrayMeta) -> np.ndarray:
@@ -371,6 +450,9 @@ def column_values(column: pa.Array, meta: ArrayMeta) -> np.ndarray:
     return out
 
 
+_SUMS = {"float32": "double", "float64": "double", "int64": "double", "uint64": "double"}
+
+
 class ZarrSource(DataSource):
     @classmethod
     def name(cls) -> str:
@@ -380,6 +462,15 @@ class ZarrSource(DataSource):
         super().__init__(options)
         if not options.get("path"):
             raise MetadataError("the path is missing")
+        self.wells = json.loads(options["wells"]) if options.get("wells") else None
+        if self.wells is not None:
+            self.uri, self.level, store = options["path"], int(options.get("level", 0)), open_store(options["path"])
+            first = next((join_key(w, f[0][1]) for w in self.wells if (f := well(open_group(store, w).attributes))), None)
+            if first is None:
+                raise MetadataError("a plate without fields has no axes")
+            self.meta, scale = level_array(store, first, self.level)
+            self.axes = tuple(a.name for a in effective_axes(scale, self.meta.rank))
+            return
         self.uri, self.meta = resolve(options["path"], options.get("array"))
         self.axes = axis_names(self.uri, self.meta, options.get("axes"))
 
@@ -387,11 +478,17 @@ class ZarrSource(DataSource):
         mode = self.options.get("mode", "cells")
         if mode == "chunks":
             return CHUNKS_SCHEMA
+        if mode == "partials":
+            by = [x.partition(":")[0] for x in self.options.get("by", "").split(",") if x]
+            kind = self.meta.type.spark
+            return ", ".join([*[f"`{a}` bigint" for a in by], f"min_v {kind}, max_v {kind}, sum_v {_SUMS.get(self.meta.type.name, 'bigint')}, n bigint"])
         if mode != "cells":
             raise UnsupportedError(f"mode {mode!r}")
-        return ", ".join([*[f"`{a}` bigint" for a in self.axes], f"value {self.meta.type.spark}"])
+        return ", ".join([*[f"`{a}` bigint" for a in self.axes], f"value {self.meta.type.spark}", *(["well string", "field int"] if self.wells is not None else [])])
 
     def reader(self, schema: StructType) -> DataSourceReader:
+        if self.wells is not None:
+            return FieldsReader(self.uri, self.wells, int(self.options.get("strip", 0)), self.level, self.axes, self.meta.type.name, self.options)
         return ZarrReader(self.uri, self.meta, self.axes, self.options)
 
     def writer(self, schema: StructType, overwrite: bool) -> ZarrWriter:
@@ -416,6 +513,12 @@ def read_cells(spark: SparkSession, uri: str, array: str | None = None, start=No
     return spark.read.format("zarr").options(**{k: str(v) for k, v in given.items() if v is not None}).load(uri)
 
 
+def read_fields(spark: SparkSession, uri: str, wells: list[str], strip: int = 0, level: int = 0) -> DataFrame:
+    """Cells of all fields of a plate's wells with well, its path less ``strip`` characters, and field."""
+    register(spark)
+    return spark.read.format("zarr").options(wells=json.dumps(wells), strip=str(strip), level=str(level)).load(uri)
+
+
 def read_chunks(spark: SparkSession, uri: str, array: str | None = None) -> DataFrame:
     """The encoded chunks or shards of an array, absent ones too."""
     return read_cells(spark, uri, array, mode="chunks")
@@ -439,4 +542,4 @@ def write_cells(cells: DataFrame, uri: str, array: str | None = None, overwrite:
     dealt.write.format("zarr").mode("overwrite" if overwrite else "append").options(**options).save(uri)
 
 
-__all__ = ["ZarrSource", "read_cells", "read_chunks", "read_region", "register", "validate_region", "write_cells"]
+__all__ = ["ZarrSource", "read_cells", "read_chunks", "read_fields", "read_region", "register", "validate_region", "write_cells"]
