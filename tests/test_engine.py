@@ -4,6 +4,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from tests.s3stub import Stub
 from tests.stores import put, sharded, v3_array
 from voxelith.functions.transforms import parse_unit, unit_column
 from voxelith.operators import analytics as A
@@ -12,6 +13,7 @@ from voxelith.operators.views import ArrayView
 from voxelith.sources import metadata as M
 from voxelith.sources.errors import UnsupportedError
 from voxelith.sources.metadata import Axis
+from voxelith.sources.store import CachedStore, ChunkCache, S3Store, Store, cached_store
 from voxelith.sources.zarr import ZarrReader, partials, read_cells, write_cells
 
 GRID = np.arange(64, dtype="<u2").reshape(8, 8)
@@ -123,3 +125,75 @@ def test_node_types_as_column_and_as_function(spark):
     got = {r.k: r.t for r in rows.select("k", N.ome_type_column(F.col("a")).alias("t")).collect()}
     assert got == {k: M.node_type(d) for k, d in enumerate(DOCUMENTS)} | {90: "unknown", 91: "unknown"}
     assert got[0] == "image" and got[1] == "unknown" and got[2] == "plate"
+
+
+class Counted(Store):
+    def __init__(self, data):
+        self.uri, self.data, self.reads = "counted", data, 0
+
+    def read(self, key):
+        self.reads += 1
+        return self.data.get(key)
+
+    def write(self, key, data):
+        self.data[key] = data
+
+
+def test_chunk_cache():
+    """Chunks are read once until they are pushed out, changed or too large; metadata and absent chunks each time."""
+    inner = Counted({"c/0": b"a" * 40, "c/1": b"b" * 40, "c/2": b"c" * 40, "c/3": b"d" * 200, "zarr.json": b"{}"})
+    store = CachedStore(inner, ChunkCache(100))
+    assert [store.read("c/0") for _ in range(3)] == [b"a" * 40] * 3 and inner.reads == 1
+    store.read("c/1"), store.read("c/0"), store.read("c/2")  # the third pushes out the longest unused: c/1
+    assert inner.reads == 3 and store.read("c/0") and inner.reads == 3 and store.read("c/1") and inner.reads == 4
+    for key, more in (("c/3", 2), ("zarr.json", 2), ("c/9", 2)):
+        before = inner.reads
+        store.read(key), store.read(key)
+        assert inner.reads == before + more
+    store.write("c/1", b"new")
+    assert store.read("c/1") == b"new" and store.read_range("c/1", 1, 1) == b"e" and store.cache.bytes <= 100
+
+
+def test_cached_reads_over_http(tmp_path):
+    """Tiles that overlap fetch a chunk once."""
+    from voxelith.plans.stores import served
+    from voxelith.sources.metadata import open_array
+    from voxelith.sources.zarr import ZarrReader
+
+    v3_array(str(tmp_path), "", GRID, (4, 4))
+    url = served(str(tmp_path))
+    meta = open_array(cached_store(url))
+    for _ in range(2):
+        for start in ("0,0", "1,1", "2,3"):
+            reader = ZarrReader(url, meta, ("y", "x"), {"start": start, "end": "4,4"})
+            rows = sum(b.num_rows for p in reader.partitions() for b in reader.read(p))
+            y, x = map(int, start.split(","))
+            assert rows == (4 - y) * (4 - x)
+            (tmp_path / "c" / "0" / "0").unlink(missing_ok=True)
+
+
+def test_s3_store():
+    """Reads, ranges, writes, existence, lists and deletes against an endpoint of our own."""
+    s = S3Store("s3://bucket/some/prefix", endpoint=Stub().url, region="us-east-1", access_key="a", secret_key="b")
+    assert s.read("a/b") is None and not s.exists("a/b") and s.list() == [] and s.read_range("a/b", 0, 1) is None
+    s.write("a/b", b"hello world")
+    s.write("c", b"x" * 100)
+    assert s.read("a/b") == b"hello world" and s.read_range("a/b", 6, 3) == b"wor" and s.read_range("a/b", -3, 3) == b"rld"
+    assert s.exists("a/b") and s.list() == ["a/b", "c"] and s.list("a") == ["a/b"]
+    s.delete("a/b"), s.delete("a/b")
+    assert s.read("a/b") is None and s.list() == ["c"]
+
+
+def test_an_array_in_s3(spark, monkeypatch):
+    """An image created, written and read in S3, its settings from the environment."""
+    from voxelith.operators import writer as W
+
+    for k, v in {"AWS_ENDPOINT_URL": Stub().url, "AWS_REGION": "us-east-1", "AWS_ACCESS_KEY_ID": "a", "AWS_SECRET_ACCESS_KEY": "b"}.items():
+        monkeypatch.setenv(k, v)
+    made = W.create_image(spark, "s3://bucket/image.zarr", W.ImageShape(8, 8, chunk_y=4, chunk_x=4))
+    level = made.node.level()
+    for y, x in ((0, 0), (0, 1), (1, 1)):
+        made.node.store.write(level.array.key((0, 0, 0, y, x)), level.array.pipeline.encode(GRID[4 * y : 4 * y + 4, 4 * x : 4 * x + 4].tobytes()))
+    want = GRID.copy()
+    want[4:, :4] = 0
+    assert level.read((0, 0, 0, 0, 0), (1, 1, 1, 8, 8)).reshape(8, 8).tolist() == want.tolist() and made.node.children() == ["0"]

@@ -60,12 +60,11 @@ def A9_flat_index(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query(
-    f"""SELECT CAST(gz.range AS BIGINT) AS z, CAST(gx.range AS BIGINT) AS x, coalesce(e.value, 0) AS value
-FROM range(24) gz, range(10) gx LEFT JOIN {_EVT} e ON e.t = 0 AND e.c = 1 AND e.y = 0 AND e.z = gz.range AND e.x = gx.range"""
+    f"""SELECT t, c, z, y, x, coalesce(e.value, 0) AS value FROM (SELECT CAST(range AS BIGINT) AS t FROM range(30)), (SELECT CAST(range AS BIGINT) AS c FROM range(5)), (SELECT CAST(range AS BIGINT) AS z FROM range(24)),
+ (SELECT CAST(unnest(range(max(user_id) // 10 + 1)) AS BIGINT) AS y FROM events), (SELECT CAST(range AS BIGINT) AS x FROM range(10)) LEFT JOIN {_EVT} e USING (t, c, z, y, x)"""
 )
 def A12_densify(spark: SparkSession, sf_dir: str) -> DataFrame:
-    view = events(spark, sf_dir)
-    return view.region((0, 1, 0, 0, 0), (1, 2, 24, 1, 10)).squeeze().densify().select("z", "x", "value")
+    return events(spark, sf_dir).densify()
 
 
 @query(
@@ -155,9 +154,9 @@ def X1_as_2d(spark: SparkSession, sf_dir: str) -> DataFrame:
     return embeddings(spark, sf_dir).as_2d()
 
 
-@query(f"SELECT list(value ORDER BY y, x) AS \"values\" FROM {_EMB} WHERE y < 3 AND x < 8")
+@query(f"SELECT list(value ORDER BY y, x) AS \"values\" FROM {_EMB}")
 def X2_as_1d(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return embeddings(spark, sf_dir).region((0, 0), (3, 8)).as_1d()
+    return embeddings(spark, sf_dir).as_1d()
 
 
 _G8 = "CAST(trunc(least(greatest(value * CAST(255 AS FLOAT), 0), 255)) AS INTEGER)"
@@ -185,15 +184,8 @@ def X6_gray16_integers(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "part").select("p_partkey", gray16(key % 256, "uint8").alias("from_u8"), gray16(key * 37 % 65536, "uint16").alias("from_u16"), gray16(key * 1000003 % 4294967296, "uint32").alias("from_u32"))
 
 
-@query(f"SELECT y, x, [g, g, g] AS bgr, [g, g, g, 255] AS bgra FROM (SELECT y, x, {_G8} AS g FROM {_EMB} WHERE y < 40)")
-def X7_X8_colour(spark: SparkSession, sf_dir: str) -> DataFrame:
-    view = embeddings(spark, sf_dir).region((0, 0), (40, 64))
-    return view.cells.select("y", "x", bgr24(F.col("value"), view.dtype).alias("bgr"), bgra32(F.col("value"), view.dtype).alias("bgra"))
-
-
 @query(f"SELECT y, x, [g, g, g] AS bgr, [g, g, g, 255] AS bgra FROM (SELECT y, x, {_G8} AS g FROM {_EMB})")
 def X7_X8_colour_image(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """X7_X8_colour over the whole image."""
     view = embeddings(spark, sf_dir)
     return view.cells.select("y", "x", bgr24(F.col("value"), view.dtype).alias("bgr"), bgra32(F.col("value"), view.dtype).alias("bgra"))
 

@@ -7,17 +7,21 @@ then raised, so that a network fault never turns into zero pixels.
 from __future__ import annotations
 
 import os
+import threading
 import time
 import urllib.error
 import urllib.parse
 import urllib.request
 import uuid
+from collections import OrderedDict
 from collections.abc import Callable
 
 from voxelith.sources.errors import MetadataError, UnsupportedError
 
 METADATA_NAMES = ("zarr.json", ".zarray", ".zgroup", ".zattrs", ".zmetadata")
 RETRIES = 4
+#: Bytes of encoded chunks that a process keeps of one store.
+CACHE_BYTES = 256 << 20
 
 
 def is_metadata_key(key: str) -> bool:
@@ -188,7 +192,7 @@ def parse_s3_uri(uri: str) -> tuple[str, str]:
 
 def s3_settings(bucket: str, environ=os.environ, endpoint: str | None = None, region: str | None = None, access_key: str | None = None, secret_key: str | None = None) -> dict:
     """Arguments of the S3 file system: given keys, else the environment's, else anonymous; path-style addressing."""
-    endpoint = endpoint or ARCHIVE_BUCKETS.get(bucket.lower())
+    endpoint = endpoint or ARCHIVE_BUCKETS.get(bucket.lower()) or environ.get("AWS_ENDPOINT_URL_S3") or environ.get("AWS_ENDPOINT_URL")
     region = region or environ.get("AWS_REGION") or environ.get("AWS_DEFAULT_REGION")
     out: dict = {"connect_timeout": 30, "request_timeout": 300, "force_virtual_addressing": False}
     access_key, secret_key = access_key or environ.get("AWS_ACCESS_KEY_ID"), secret_key or environ.get("AWS_SECRET_ACCESS_KEY")
@@ -260,6 +264,74 @@ class S3Store(Store):
             pass
 
 
+class ChunkCache:
+    """Encoded chunks of one store in this process, up to a number of bytes; the longest unused go first. Absent chunks and metadata are never held."""
+
+    def __init__(self, budget: int = CACHE_BYTES):
+        self.budget, self.bytes = budget, 0
+        self._held: OrderedDict[tuple, bytes] = OrderedDict()
+        self._lock = threading.Lock()
+
+    def get(self, key: tuple, load: Callable[[], bytes | None]) -> bytes | None:
+        with self._lock:
+            if key in self._held:
+                self._held.move_to_end(key)
+                return self._held[key]
+        data = load()
+        if data is not None and len(data) <= self.budget:
+            with self._lock:
+                self.bytes += len(data) - len(self._held.pop(key, b""))
+                self._held[key] = data
+                while self.bytes > self.budget:
+                    self.bytes -= len(self._held.popitem(last=False)[1])
+        return data
+
+    def forget(self, name: str) -> None:
+        with self._lock:
+            for key in [k for k in self._held if k[0] == name]:
+                self.bytes -= len(self._held.pop(key))
+
+
+class CachedStore(Store):
+    """A store whose chunks are read through a cache. Writes and deletes through it forget what they change; other writers are not seen."""
+
+    def __init__(self, store: Store, cache: ChunkCache):
+        self.store, self.cache, self.uri = store, cache, store.uri
+
+    def read(self, key: str) -> bytes | None:
+        return self.store.read(key) if is_metadata_key(key) else self.cache.get((key,), lambda: self.store.read(key))
+
+    def read_range(self, key: str, start: int, length: int) -> bytes | None:
+        return self.cache.get((key, start, length), lambda: self.store.read_range(key, start, length))
+
+    def write(self, key: str, data: bytes) -> None:
+        self.store.write(key, data)
+        self.cache.forget(key)
+
+    def delete(self, key: str) -> None:
+        self.store.delete(key)
+        self.cache.forget(key)
+
+    def exists(self, key: str) -> bool:
+        return self.store.exists(key)
+
+    def list(self, prefix: str = "") -> list[str]:
+        return self.store.list(prefix)
+
+
+_caches: dict[str, ChunkCache] = {}
+
+
+def cached_store(uri: str, budget: int = CACHE_BYTES) -> Store:
+    """The store of a URI; its chunks come through this process' cache, which the next task of the same worker finds. Local files are the system's to cache."""
+    store = open_store(uri)
+    if not budget or isinstance(store, LocalStore):
+        return store
+    cache = _caches.setdefault(store.uri, ChunkCache(budget))
+    cache.budget = budget
+    return CachedStore(store, cache)
+
+
 #: Store makers by URI scheme; others may be added.
 SCHEMES: dict[str, Callable[[str], Store]] = {"s3": S3Store, "http": HttpStore, "https": HttpStore}
 

@@ -5,7 +5,8 @@
 Options: ``path`` (store, or store and array), ``array`` (array within the store), ``start`` and
 ``end`` (comma-separated region), ``axes`` (comma-separated names), ``mode`` (cells, chunks or
 partials), ``by`` (for partials: axis:size, comma-separated), ``wells`` and ``level`` (cells of a
-plate's fields), ``fillMode`` (declared or zero) and ``partitionBytes`` (decoded bytes of a task).
+plate's fields), ``fillMode`` (declared or zero), ``partitionBytes`` (decoded bytes of a task) and
+``cacheBytes`` (encoded chunks that a worker keeps of a store that is not local; 0 for none).
 """
 
 from __future__ import annotations
@@ -27,7 +28,7 @@ from pyspark.sql.types import StructType
 from voxelith.sources.codecs import EMPTY
 from voxelith.sources.errors import CodecError, MetadataError, NodeNotFoundError, RegionError, UnsupportedError
 from voxelith.sources.metadata import ArrayMeta, effective_axes, multiscales, node_type, open_array, open_group, well
-from voxelith.sources.store import Store, is_metadata_key, join_key, open_store
+from voxelith.sources.store import CACHE_BYTES, Store, cached_store, is_metadata_key, join_key, open_store
 
 PARTITION_BYTES = 8 << 20
 #: Tasks of a read, at most: beyond, each reads more.
@@ -216,6 +217,7 @@ class ZarrReader(DataSourceReader):
         self.mode = options.get("mode", "cells")
         self.zero = options.get("fillMode", "declared") == "zero"
         self.bytes = int(options.get("partitionBytes", PARTITION_BYTES))
+        self.cache = int(options.get("cacheBytes", CACHE_BYTES))
         ints = lambda name: tuple(int(x) for x in options[name].split(",")) if options.get(name) else None
         start, end = ints("start") or (0,) * meta.rank, ints("end") or meta.shape
         if ints("start") or ints("end"):
@@ -261,7 +263,7 @@ class ZarrReader(DataSourceReader):
 
     def read(self, part: BoxPart) -> Iterator[pa.RecordBatch]:
         lo, size = self._box()
-        store = open_store(self.uri)
+        store = cached_store(self.uri, self.cache)
         for flat in range(part.first, part.last):
             coord = tuple(int(a + i) for a, i in zip(lo, np.unravel_index(flat, size), strict=True))
             if self.mode == "chunks":
