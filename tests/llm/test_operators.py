@@ -258,6 +258,24 @@ def test_encode_gives_n_segmentations(docs):
             assert r.second_score == (want[1][0] if len(want) > 1 else None) and all(p.decode(o.ids) == (r.text or "") for o in r.others)
 
 
+def test_encode_gives_changes(docs):
+    """The changes lead from the best ids to each other segmentation."""
+    whole = {(r.doc_id, r.text): r for r in pieces.encode(docs, queries.PIECES_MODEL, 4).collect()}
+    for r in pieces.encode(docs, queries.PIECES_MODEL, 4, changes_only=True).collect():
+        want = whole[r.doc_id, r.text]
+        ids = [pieces.changed(np.array(r.ids, np.int32), [(c.start, c.end, c.ids) for c in o.changes]).tolist() for o in r.others]
+        assert ids == [o.ids for o in want.others] and [o.score for o in r.others] == [o.score for o in want.others] and r.ids == want.ids
+
+
+def test_pieces_forget(monkeypatch):
+    """A worker that forgets what it made gives the same."""
+    p, texts = pieces.Pieces.load(queries.PIECES_MODEL), [f"some words number{k} and others{k * k}" for k in range(300)]
+    want = [p.encode(t, 2) for t in texts]
+    monkeypatch.setattr(pieces, "REMEMBERED", 20)
+    pieces.Memory.held = (None, None)
+    assert [p.encode(t, 2) for t in texts + texts] == want + want
+
+
 def test_syncmers(spark, sample, empty):
     from pyspark.sql import functions as F
 
