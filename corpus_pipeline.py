@@ -3,12 +3,12 @@
 from __future__ import annotations
 
 import posixpath
-import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from voxelith.llm.common import shared_folder
 from voxelith.llm.lines import dedup_lines
 from voxelith.llm.mixing import mix_documents
 from voxelith.llm.nearcopies import drop_near_copies
@@ -39,8 +39,8 @@ def mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def encoding(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents with their pieces and both best scores."""
-    return encode(docs, PIECES_MODEL).drop("decoded")
+    """Documents with their pieces, both best scores, and where the second best differs."""
+    return encode(docs, PIECES_MODEL, changes_only=True).drop("decoded")
 
 
 STAGES = [
@@ -53,13 +53,21 @@ STAGES = [
 ORACLE_SQL = None  # near-dedup, mixing and the pieces are beyond SQL; tests compare with brute force
 
 
+def delete(spark: SparkSession, path: str) -> None:
+    where = spark._jvm.org.apache.hadoop.fs.Path(path)
+    where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
+
+
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages over documents; each stage's rows go to Parquet in the shared folder and are read from there."""
-    shared = spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="corpus-pipeline-")
+    """All stages over documents; each stage's rows go to Parquet in the shared folder and are read from there, until the next stage's are written."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    folder = posixpath.join(shared, f"pipeline-{uuid.uuid4().hex}")
+    folder = posixpath.join(shared_folder(spark), f"pipeline-{uuid.uuid4().hex}")
+    before = None
     for k, (name, stage) in enumerate(STAGES):
         made = stage(spark, docs, sf_dir)
         made.write.parquet(path := f"{folder}/{k}-{name}")
         docs = spark.read.schema(made.schema).parquet(path)
+        if before:
+            delete(spark, before)
+        before = path
     return docs
