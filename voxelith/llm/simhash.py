@@ -178,16 +178,17 @@ def near_links(fps: DataFrame, radius: int = 2, exact_parts: int = 3) -> DataFra
     return dealt.mapInArrow(partial(_scan, radius=radius), "a long, b long").where("a <> b").distinct()
 
 
-def components(links: DataFrame, max_rounds: int = 40) -> DataFrame:
+def components(links: DataFrame) -> DataFrame:
     """(node, root) for every node of the links (a, b): root is the smallest node reachable.
 
-    Alternating large-star and small-star rounds over aggregates; each round is checkpointed,
-    and only a digest of it comes to the driver.
+    Alternating large-star and small-star rounds over aggregates, until one changes nothing: some
+    logarithm of the longest chain of them. Each round is checkpointed, and only a digest of it
+    comes to the driver.
     """
     edges = checkpointed(links.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).where("u <> v").distinct())
     digest = lambda e: tuple(e.agg(F.count(F.lit(1)), F.bit_xor(F.xxhash64("u", "v"))).first())
     seen = digest(edges)
-    for _ in range(max_rounds if seen[0] else 0):
+    while seen[0]:
         both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
         least = both.groupBy("u").agg(F.least(F.min("v"), F.first("u")).alias("m"))
         large = both.where("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v"))
@@ -199,9 +200,6 @@ def components(links: DataFrame, max_rounds: int = 40) -> DataFrame:
         if now == seen:
             break
         seen = now
-    else:
-        if seen[0]:
-            raise RuntimeError(f"components did not settle in {max_rounds} rounds")
     return edges.groupBy("u").agg(F.min("v").alias("root")).select(F.col("u").alias("node"), "root")
 
 
