@@ -49,6 +49,27 @@ def test_partials_of_types():
         assert b.column("x").to_pylist() == [2, 3] and [float(v) for v in b.column("sum_v").to_pylist()] == [2.0, 2.0] and b.column("n").to_pylist() == [4, 2]
 
 
+def test_means_under_labels_chunk_by_chunk(spark, tmp_path):
+    """A mask of fewer axes and other chunks, over the whole image and a region; against the join of cells."""
+    import dataclasses
+
+    root, rng = str(tmp_path), np.random.default_rng(2)
+    image, mask = rng.integers(0, 900, (3, 7, 9)).astype("<u2"), rng.integers(0, 4, (7, 9)).astype("<i4")
+    axes = [{"name": n, "type": "space"} for n in "zyx"]
+    sets = [{"path": "0", "coordinateTransformations": [{"type": "scale", "scale": [1, 1, 1]}]}]
+    put(root, "zarr.json", {"zarr_format": 3, "node_type": "group", "attributes": {"ome": {"version": "0.5", "multiscales": [{"axes": axes, "datasets": sets}]}}})
+    put(root, "labels/zarr.json", {"zarr_format": 3, "node_type": "group", "attributes": {"ome": {"labels": ["m"]}}})
+    put(root, "labels/m/zarr.json", {"zarr_format": 3, "node_type": "group", "attributes": {"ome": {"image-label": {}, "multiscales": [{"axes": axes[1:], "datasets": [{"path": "0", "coordinateTransformations": [{"type": "scale", "scale": [1, 1]}]}]}]}}})
+    v3_array(root, "0", image, (1, 3, 4))
+    v3_array(root, "labels/m/0", mask, (4, 4))
+    node = N.as_image(N.open_zarr(spark, root))
+    labels = node.labels().open("m").level().view()
+    for part in (node.level().view(), node.level().view().region((1, 2, 1), (3, 6, 8))):
+        assert part.under(labels) is not None
+        got = {r.label: r.mean_v for r in A.masked_mean(part, labels).collect()}
+        assert got == pytest.approx({r.label: r.mean_v for r in A.masked_mean(dataclasses.replace(part, masked=None), labels).collect()}) and set(got) == {1, 2, 3}
+
+
 def test_sets_of_indices_prune(spark, tmp_path):
     v3_array(str(tmp_path), "", GRID, (2, 8))
     (tmp_path / "c" / "1" / "0").write_bytes(bytes(999))  # an error if it is read

@@ -58,7 +58,9 @@ def tile_sums(view: ArrayView, height: int, width: int) -> DataFrame:
 
 
 def masked_mean(image: ArrayView, labels: ArrayView) -> DataFrame:
-    """The mean of the image under each label but 0, on the labels' axes."""
+    """The mean of the image under each label but 0, on the labels' axes. Both are read together, chunk by chunk, where they share a grid and a store."""
+    if (sums := image.under(labels)) is not None:
+        return sums.groupBy("label").agg((F.sum("sum_v") / F.sum("n")).alias("mean_v"))
     names = [n for n in labels.names if n in image.names]
     mask = labels.cells.where("value <> 0").select(*names, F.col("value").alias("label"))
     return image.cells.join(mask, names).groupBy("label").agg(F.avg(F.col("value").cast("double")).alias("mean_v"))

@@ -3,9 +3,9 @@
     spark.read.format("zarr").load("/data/image.zarr/0")
 
 Options: ``path`` (store, or store and array), ``array`` (array within the store), ``start`` and
-``end`` (comma-separated region), ``axes`` (comma-separated names), ``mode`` (cells, chunks or
-partials), ``by`` (for partials: axis:size, comma-separated), ``wells`` and ``level`` (cells of a
-plate's fields), ``fillMode`` (declared or zero), ``partitionBytes`` (decoded bytes of a task) and
+``end`` (comma-separated region), ``axes`` (comma-separated names), ``mode`` (cells, chunks,
+partials or masked), ``by`` (for partials: axis:size, comma-separated), ``labels`` (for masked: the
+label array in the same store), ``wells`` and ``level`` (cells of a plate's fields), ``fillMode`` (declared or zero), ``partitionBytes`` (decoded bytes of a task) and
 ``cacheBytes`` (encoded chunks that a worker keeps of a store that is not local; 0 for none).
 """
 
@@ -224,6 +224,7 @@ class ZarrReader(DataSourceReader):
             start, end = validate_region(meta.shape, start, end)
         self.start, self.end = list(start), list(end)
         self.only: dict[int, np.ndarray] = {}
+        self.labels = options.get("labels")
         self.by = [(axes.index(n), int(k)) for n, _, k in (x.partition(":") for x in options.get("by", "").split(",") if x)]
 
     def pushFilters(self, filters: list) -> Iterable:
@@ -270,7 +271,24 @@ class ZarrReader(DataSourceReader):
                 yield self._chunk_row(store, coord)
             elif all(np.diff(np.searchsorted(known, [coord[k] * self.meta.chunks[k], (coord[k] + 1) * self.meta.chunks[k]]))[0] for k, known in self.only.items()):
                 for origin, values in read_blocks(store, self.meta, coord, self.start, self.end, self.zero):
-                    yield from cell_batches(origin, values, self.axes) if self.mode == "cells" else [partials(origin, values, self.axes, self.by)]
+                    if self.mode == "cells":
+                        yield from cell_batches(origin, values, self.axes)
+                    else:
+                        yield partials(origin, values, self.axes, self.by) if self.mode == "partials" else self._under_labels(store, origin, values)
+
+    def _under_labels(self, store: Store, origin, values: np.ndarray) -> pa.RecordBatch:
+        """Sum and number of a block's values under each label but 0: the labels' part of the same box is read here."""
+        meta = open_array(store, self.labels)
+        names = axis_names(self.uri, meta, None)
+        at = [self.axes.index(n) for n in names]
+        part = read_region(store, meta, [origin[k] for k in at], [origin[k] + values.shape[k] for k in at], self.zero)
+        order = np.argsort(at)
+        part = part.transpose(order).reshape([values.shape[k] if k in at else 1 for k in range(values.ndim)])
+        known, of = np.unique(part, return_inverse=True)
+        of = np.broadcast_to(of.reshape(part.shape), values.shape).ravel()
+        sums, n = np.bincount(of, values.ravel().astype(np.float64), len(known)), np.bincount(of, minlength=len(known))
+        some = known != 0
+        return pa.RecordBatch.from_arrays([spark_values(known[some]), pa.array(sums[some]), pa.array(n[some])], ["label", "sum_v", "n"])
 
     def _chunk_row(self, store: Store, coord) -> pa.RecordBatch:
         raw = read_key(store, self.meta, coord)
@@ -484,6 +502,8 @@ class ZarrSource(DataSource):
             by = [x.partition(":")[0] for x in self.options.get("by", "").split(",") if x]
             kind = self.meta.type.spark
             return ", ".join([*[f"`{a}` bigint" for a in by], f"min_v {kind}, max_v {kind}, sum_v {_SUMS.get(self.meta.type.name, 'bigint')}, n bigint"])
+        if mode == "masked":
+            return f"label {open_array(open_store(self.uri), self.options['labels']).type.spark}, sum_v double, n bigint"
         if mode != "cells":
             raise UnsupportedError(f"mode {mode!r}")
         return ", ".join([*[f"`{a}` bigint" for a in self.axes], f"value {self.meta.type.spark}", *(["well string", "field int"] if self.wells is not None else [])])
