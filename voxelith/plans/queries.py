@@ -60,8 +60,8 @@ def A9_flat_index(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query(
-    f"""SELECT t, c, z, y, x, coalesce(e.value, 0) AS value FROM (SELECT CAST(range AS BIGINT) AS t FROM range(30)), (SELECT CAST(range AS BIGINT) AS c FROM range(5)), (SELECT CAST(range AS BIGINT) AS z FROM range(24)),
- (SELECT CAST(unnest(range(max(user_id) // 10 + 1)) AS BIGINT) AS y FROM events), (SELECT CAST(range AS BIGINT) AS x FROM range(10)) LEFT JOIN {_EVT} e USING (t, c, z, y, x)"""
+    f"""SELECT t, c, z, y, x, coalesce(e.value, 0) AS value FROM (SELECT * FROM (SELECT CAST(range AS BIGINT) AS t FROM range(30)), (SELECT CAST(range AS BIGINT) AS c FROM range(5)), (SELECT CAST(range AS BIGINT) AS z FROM range(24)),
+ (SELECT CAST(unnest(range(max(user_id) // 10 + 1)) AS BIGINT) AS y FROM events), (SELECT CAST(range AS BIGINT) AS x FROM range(10))) g LEFT JOIN {_EVT} e USING (t, c, z, y, x)"""
 )
 def A12_densify(spark: SparkSession, sf_dir: str) -> DataFrame:
     return events(spark, sf_dir).densify()
@@ -221,13 +221,6 @@ def E6_best_level(spark: SparkSession, sf_dir: str) -> DataFrame:
     return A.best_level_rows(levels, 0.75)
 
 
-@query("SELECT c_nationkey % 4 AS r, c_nationkey // 4 AS k, c_mktsegment AS field, count(*) AS n FROM customer GROUP BY ALL")
-def E7_plate_loop(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """A plate of wells and fields: customers by nation and segment."""
-    cells = table(spark, sf_dir, "customer").select((F.col("c_nationkey") % 4).alias("r"), F.expr("CAST(c_nationkey div 4 AS INT)").alias("k"), F.col("c_mktsegment").alias("field"))
-    return cells.groupBy("r", "k", "field").agg(F.count(F.lit(1)).alias("n"))
-
-
 @query(f"SELECT y // 4 AS ty, x // 4 AS tx, CAST(sum(value) AS BIGINT) AS total FROM {_EVT} GROUP BY ALL")
 def E8_tile_sums(spark: SparkSession, sf_dir: str) -> DataFrame:
     return A.tile_sums(events(spark, sf_dir), 4, 4)
@@ -257,11 +250,6 @@ def A1_many_regions(spark: SparkSession, sf_dir: str) -> DataFrame:
     return A.by_roi(dataclasses.replace(view, cells=wide), rois).select("roi_id", "n_cells", _rounded("total", "total", 3))
 
 
-@query("SELECT event_id, CAST(json_extract(props, '$.k') AS BIGINT) AS k FROM events")
-def M1_attribute_json(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return table(spark, sf_dir, "events").select("event_id", F.get_json_object("props", "$.k").cast("bigint").alias("k"))
-
-
 @query(
     """SELECT event_id, CASE k % 7 WHEN 0 THEN 'plate' WHEN 1 THEN 'bioformats2raw' WHEN 2 THEN 'well' WHEN 3 THEN 'labels' WHEN 4 THEN 'label' WHEN 5 THEN 'image' ELSE 'unknown' END AS ome_type
 FROM (SELECT event_id, CAST(json_extract(props, '$.k') AS BIGINT) AS k FROM events)"""

@@ -387,6 +387,25 @@ def G5_G6_children(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.createDataFrame([("", c) for c in root.children()] + [("image", c) for c in image.children()], "parent string, name string")
 
 
+@query("SELECT r_regionkey AS k, r_name AS name, true AS strict_refuses FROM region")
+def M1_lenient_json(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents with comments, trailing commas and names in other cases, one a region, read as metadata; strictly read they are refused."""
+    from voxelith.sources.errors import MetadataError
+    from voxelith.sources.metadata import loads, open_group
+
+    uri, rows = new_store(spark), []
+    for r in table(spark, sf_dir, "region").collect():
+        text = f'{{ // a comment\n "Zarr_Format": 3, /* more */ "NODE_TYPE": "group",\n "Attributes": {{"own": [{r.r_regionkey}, "{r.r_name}",],}}, }}'.encode()
+        put(uri, f"{r.r_regionkey}/zarr.json", text)
+        k, name = open_group(open_store(uri), str(r.r_regionkey)).attributes["own"]
+        try:
+            loads(text, strict=True)
+            rows.append((k, name, False))
+        except MetadataError:
+            rows.append((k, name, True))
+    return spark.createDataFrame(rows, "k int, name string, strict_refuses boolean")
+
+
 @query("SELECT * FROM (VALUES (0, '0', 0.5::DOUBLE, 0.25::DOUBLE, 0.0::DOUBLE, 'y,x', 'micrometer'), (1, '1', 1.0, 0.5, 0.5, 'y,x', 'micrometer')) t(lvl, path, size_y, size_x, at_y, axes, unit)")
 def M8_T1_T2_N5_N6_N13_levels(spark: SparkSession, sf_dir: str) -> DataFrame:
     from voxelith.functions.transforms import parse_unit
