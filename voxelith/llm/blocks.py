@@ -17,7 +17,9 @@ from pyspark.sql import functions as F
 from voxelith.llm.common import pack, shuffle_partitions, unpack
 
 #: A run should hold about so many keys; blocks and buckets grow with the root of the input for that, within these bytes of text.
-RUN_KEYS, LEAST_BYTES, MOST_BYTES = 4000, 1 << 20, 12 << 20
+RUN_KEYS, LEAST_BYTES, MOST_BYTES = 8000, 1 << 20, 12 << 20
+#: A bucket has the keys of about so many blocks: fewer buckets make fewer runs, and keys take less room than texts.
+BUCKET_BLOCKS = 4
 
 
 def layout(docs: DataFrame) -> tuple[DataFrame, int, int]:
@@ -29,8 +31,8 @@ def layout(docs: DataFrame) -> tuple[DataFrame, int, int]:
     total = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     each = min(MOST_BYTES, max(LEAST_BYTES, 4 * math.isqrt(RUN_KEYS * total // 4)))
     n = shuffle_partitions(docs.sparkSession)
-    blocks = max(4 * n, math.ceil(total / each))
-    bits = min(24, max(2, math.ceil(math.log2(max(1, total / each)))))
+    blocks = max(2 * n, math.ceil(total / each))
+    bits = min(24, max(2, math.ceil(math.log2(max(1, total / each / BUCKET_BLOCKS)))))
     return docs.withColumn("block", F.pmod(F.xxhash64("doc_id", "text"), F.lit(blocks))), n, bits
 
 

@@ -24,6 +24,7 @@ from functools import cache
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
+import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -36,7 +37,7 @@ DISCOUNT, STRENGTH, ROOT_DISCOUNT, ROOT_STRENGTH = 0.8, 1.0, 0.7, 1.0
 ROUNDS, SAMPLES = 4, 2
 #: Customers up to which Stirling numbers are tabled; beyond, they follow by their scaling limit (see Stirling.weights).
 TABLED = 1024
-#: Bytes of text that a worker splits into words at once.
+#: Bytes of text that a worker splits into words at once, but for a longer text.
 SLICE = 4 << 20
 END = np.uint64(0x656E64)  # the hash of the token that ends a text
 _BOS = 1  # the number of the context that starts a text; words' numbers are larger
@@ -145,12 +146,12 @@ def is_training(doc_id) -> bool:
 
 _ROW = pa.schema([("to", pa.int64()), ("kind", pa.int32()), ("sender", pa.int64()), ("ids", pa.list_(pa.int64())), ("a", pa.binary()), ("b", pa.binary()), ("c", pa.binary()), ("x", pa.float64()), ("y", pa.float64()), ("z", pa.float64())])
 _ROW_DDL = "to long, kind int, sender long, ids array<long>, a binary, b binary, c binary, x double, y double, z double"
-_TEXT, _WORDS, _COUNTS, _LEXICON, _PAIRS, _STATE, _UP, _DOWN, _SEATS, _ROOT = range(10)
+_TEXT, _TOKENS, _WORDS, _COUNTS, _LEXICON, _PAIRS, _STATE, _FIRST, _UP, _DOWN, _SEATS, _ROOT = range(12)
 
 
 def _rows(rows: list[tuple]) -> pa.Table:
     """Rows (to, kind, sender, a, b, c, x, y, z); trailing values may be left out."""
-    full = [(*r[:3], None, *r[3:], *(b"", b"", b"", 0.0, 0.0, 0.0)[len(r) - 3 :]) for r in rows]
+    full = [(*r[:3], None, *r[3:], *(b"", b"", b"", 0.0, 0.0, 0.0)[len(r) - 3 :]) if len(r) < len(_ROW) else r for r in rows]
     return pa.table([pa.array([r[k] for r in full], f.type) for k, f in enumerate(_ROW)], schema=_ROW)
 
 
@@ -178,73 +179,72 @@ def unbundle(b: bytes, *types) -> list[np.ndarray]:
     return out
 
 
-def _tokenised(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Texts as tokens, gathered by block: ids, lengths, sorted distinct hashes and each token's place among them."""
+def _packed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Texts gathered by block: ids, lengths in bytes, and their bytes in lower case, compressed."""
+    compress = zstandard.ZstdCompressor(level=1).compress
     for batch in batches:
-        raw, at = byte_buffer(batch.column("text"))
-        raw = lower_bytes(raw)
-        cuts = [0]
-        while cuts[-1] < batch.num_rows:
-            cuts.append(max(cuts[-1] + 1, int(np.searchsorted(at, at[cuts[-1]] + SLICE, "right")) - 1))
-        tokens, lengths = [], []
-        for i, j in zip(cuts[:-1], cuts[1:], strict=True):
-            part = raw[at[i] : at[j]]
-            starts, ends, counts = word_spans(part, at[i : j + 1] - at[i])
-            made = np.full(len(starts) + len(counts), END, np.uint64)
-            inner = np.ones(len(made), bool)
-            inner[np.cumsum(counts + 1) - 1] = False
-            made[inner] = word_hashes(part, starts, ends)
-            tokens.append(made)
-            lengths.append(counts + 1)
-        if not tokens:
-            continue
-        tokens, lengths = np.concatenate(tokens), np.concatenate(lengths)
-        blocks, ids = np.asarray(batch.column("block")), batch.column("doc_id").to_pylist()
-        ends = np.cumsum(lengths)
+        blocks = np.asarray(batch.column("block"))
         order = np.argsort(blocks, kind="stable")
-        heads = np.flatnonzero(np.append(True, blocks[order][1:] != blocks[order][:-1]))
+        heads = np.flatnonzero(np.append(True, blocks[order][1:] != blocks[order][:-1])) if len(order) else order
         rows = []
-        for own in np.split(order, heads[1:]):
-            n = lengths[own]
-            pick = np.repeat(ends[own] - n - np.concatenate([[0], np.cumsum(n)[:-1]]), n) + np.arange(n.sum())
-            keys, place = np.unique(tokens[pick], return_inverse=True)
-            rows.append((int(blocks[own[0]]), _TEXT, 0, [ids[k] for k in own], bundle(n), pack_keys(keys), bundle(place.astype(np.int32)), 0.0, 0.0, 0.0))
+        for own in np.split(order, heads[1:]) if len(order) else []:
+            part = batch.take(pa.array(own))
+            raw, at = byte_buffer(part.column("text"))
+            rows.append((int(blocks[own[0]]), _TEXT, 0, part.column("doc_id").to_pylist(), bundle(np.diff(at)), compress(lower_bytes(raw).tobytes()), b"", 0.0, 0.0, 0.0))
         yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], f.type) for k, f in enumerate(_ROW)], schema=_ROW)
 
 
+def _tokens(raw: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Hashes of the tokens of texts, an end after each text, and how many each has; SLICE bytes at once."""
+    cuts, tokens, lengths = [0], [np.zeros(0, np.uint64)], [np.zeros(0, np.int64)]
+    while cuts[-1] < len(at) - 1:
+        cuts.append(max(cuts[-1] + 1, int(np.searchsorted(at, at[cuts[-1]] + SLICE, "right")) - 1))
+    for i, j in zip(cuts[:-1], cuts[1:], strict=True):
+        part = raw[at[i] : at[j]]
+        starts, ends, counts = word_spans(part, at[i : j + 1] - at[i])
+        made = np.full(len(starts) + len(counts), END, np.uint64)
+        inner = np.ones(len(made), bool)
+        inner[np.cumsum(counts + 1) - 1] = False
+        made[inner] = word_hashes(part, starts, ends)
+        tokens.append(made)
+        lengths.append(counts + 1)
+    return np.concatenate(tokens), np.concatenate(lengths)
+
+
+def _read(table: pa.Table) -> tuple[list, np.ndarray, np.ndarray, np.ndarray]:
+    """A block's texts as ids, tokens of each text, distinct hashes in order, and each token's place among them."""
+    expand = zstandard.ZstdDecompressor().decompress
+    ids, sizes, data = [], [], []
+    for r in _of(table, _TEXT):
+        ids += r["ids"]
+        sizes.append(unbundle(r["a"], np.int64)[0])
+        data.append(expand(r["b"]))
+    tokens, lengths = _tokens(np.frombuffer(b"".join(data), np.uint8), np.concatenate([[0], np.cumsum(np.concatenate(sizes))]))
+    keys, place = np.unique(tokens, return_inverse=True)
+    return ids, lengths, keys, place.astype(np.int32)
+
+
 class _Block:
-    """The tokens of one block, words numbered by their sorted hashes."""
+    """The tokens of one block, words numbered in order of their hashes; ``end`` is the number of the end of texts."""
 
-    def __init__(self, table: pa.Table):
-        self.number = table["to"][0].as_py()
-        runs = table.filter(pc.equal(table["kind"], _TEXT))
-        self.ids = pa.concat_arrays([c.flatten() for c in runs["ids"].chunks]) if len(runs) else pa.array([], pa.int64())
-        lengths = [unbundle(b, np.int64)[0] for b in runs["a"].to_pylist()]
-        keys = [unpack_keys(b) for b in runs["b"].to_pylist()]
-        places = [unbundle(b, np.int32)[0] for b in runs["c"].to_pylist()]
-        self.lengths = np.concatenate(lengths)
-        self.stops = np.cumsum(self.lengths) - 1
-        self.keys, whole = np.unique(np.concatenate(keys), return_inverse=True)
-        offsets = np.cumsum([0, *[len(k) for k in keys]])
-        self.place = np.concatenate([whole[a + p] for a, p in zip(offsets, places, strict=False)])
-        self.train = np.array([is_training(i) for i in self.ids.to_pylist()], bool)
-        self.training = np.repeat(self.train, self.lengths)
-        self.counts = np.bincount(self.place, self.training, len(self.keys)).astype(np.int64)
-        self.first = np.concatenate([[0], self.stops[:-1] + 1])
-
-    def gather(self, answers: list[tuple[int, np.ndarray]], bits: int, dtype) -> np.ndarray:
-        """One value for each distinct word from its bucket's answer."""
-        at, out = bucket_bounds(self.keys, bits), np.zeros(len(self.keys), dtype)
-        for b, x in answers:
-            out[at[b] : at[b + 1]] = x
-        return out
+    def __init__(self, number: int, ids: list, lengths: np.ndarray, words: int, place: np.ndarray, end: int):
+        self.number, self.ids, self.lengths, self.words, self.place, self.end = number, pa.array(ids, pa.int64()), lengths, words, place, end
+        self.train = np.array([is_training(i) for i in ids], bool)
+        self.training = np.repeat(self.train, lengths)
+        self.counts = np.bincount(place, self.training, words).astype(np.int64)
+        self.first = np.cumsum(lengths) - lengths
+
+    @classmethod
+    def of(cls, table: pa.Table) -> _Block:
+        row = _of(table, _TOKENS)[0]
+        return cls(row["to"], row["ids"], *unbundle(row["a"], np.int64), int(row["x"]), *unbundle(row["c"], np.int32), int(row["y"]))
 
     def told(self, table: pa.Table, bits: int):
-        """Counts and numbers of the block's words, and the training tokens and words of all."""
+        """Counts and numbers of the block's words, and the training tokens and words of all. Every bucket answers in order of hashes, and buckets are ranges of these."""
         rows = _of(table, _COUNTS)
-        made = [(r["sender"], *unbundle(r["a"], np.int64, np.int64)) for r in rows]
-        counts = self.gather([(b, c) for b, c, _ in made], bits, np.int64)
-        numbers = self.gather([(b, x) for b, _, x in made], bits, np.int64)
+        made = [unbundle(r["a"], np.int64, np.int64) for r in rows]
+        counts = np.concatenate([c for c, _ in made])
+        numbers = np.concatenate([(rank << bits) + r["sender"] + _BOS + 1 for r, (_, rank) in zip(rows, made, strict=True)])
         return counts, numbers, int(sum(r["x"] for r in rows)), int(sum(r["y"] for r in rows))
 
     def before(self, of_words: np.ndarray, start) -> np.ndarray:
@@ -259,23 +259,23 @@ class _Block:
 
         A context that would be more than a bucket's share is dealt to several buckets by word.
         """
-        docs = int(counts[np.searchsorted(self.keys, END)])
-        number, seen, trained = numbers[self.place], counts[self.place], self.before(counts, docs)
-        known = np.flatnonzero((seen > 0) & (trained > 0))
-        u, w = self.before(numbers, _BOS)[known], number[known]
-        spread = np.maximum(1, -(-trained[known] * (1 << bits) // max(1, total)))
+        words = self.words
+        known = np.flatnonzero((counts[self.place] > 0) & ((trained := self.before(counts, int(counts[self.end]))) > 0))
+        local = self.before(np.arange(words), words)[known] * words + self.place[known]
+        distinct, at = np.unique(local, return_inverse=True)
+        context, word = distinct // words, distinct % words
+        u, w = np.append(numbers, _BOS)[context], numbers[word]
+        spread = np.maximum(1, -(-np.append(counts, trained[self.first[:1]])[context] * (1 << bits) // max(1, total)))
         home = (mix(u.astype(np.uint64)) >> np.uint64(64 - bits)).astype(np.int64)
         part = (mix(w.astype(np.uint64) * np.uint64(3)) % spread.astype(np.uint64)).astype(np.int64)
         bucket = (home + part) % (1 << bits)
-        order = np.lexsort((w, u, bucket))
-        b2, u2, w2 = bucket[order], u[order], w[order]
-        fresh = np.ones(len(order), bool)
-        fresh[1:] = (b2[1:] != b2[:-1]) | (u2[1:] != u2[:-1]) | (w2[1:] != w2[:-1])
-        place = np.full(len(number), -1, np.int64)
-        place[known[order]] = np.cumsum(fresh) - 1
-        pick = order[fresh]
-        own = np.bincount(place[known], self.training[known], len(pick)).astype(np.int64)
-        return (bucket[pick], u[pick], w[pick], own), place, trained
+        order = np.lexsort((u, bucket))
+        rank = np.empty(len(order), np.int64)
+        rank[order] = np.arange(len(order))
+        place = np.full(len(self.place), -1, np.int64)
+        place[known] = rank[at]
+        own = np.bincount(at, self.training[known], len(distinct)).astype(np.int64)
+        return (bucket[order], u[order], w[order], own[order]), place, trained
 
 
 class _Pairs:
@@ -296,8 +296,14 @@ class _Pairs:
         pair, self.place = np.unique(u * width + w, return_inverse=True)
         self.ends = np.cumsum([len(x) for x in ws])[:-1] if ws else []
         c = np.bincount(self.place, np.concatenate(cs + empty), len(pair)).astype(np.int64)
-        self.n, self.taken = len(pair), np.flatnonzero(c > 0)
-        self.c, self.u, self.w = c[self.taken], pair[self.taken] // width, pair[self.taken] % width
+        self.n, self.all = len(pair), c
+        self.of_context, self.of_dish = pair // width, pair % width
+
+    def again(self) -> tuple[_Again, np.ndarray]:
+        """The pairs of two customers and more, and where they are: only these can sit otherwise than at one table."""
+        at = np.flatnonzero(self.all > 1)
+        (contexts, u), (dishes, w) = (np.unique(x[at], return_inverse=True) for x in (self.of_context, self.of_dish))
+        return _Again(self.contexts[contexts], self.dishes[dishes], u, w, self.all[at]), at
 
 
 def _dealt(ids: np.ndarray, buckets: int) -> tuple[np.ndarray, np.ndarray]:
@@ -307,25 +313,36 @@ def _dealt(ids: np.ndarray, buckets: int) -> tuple[np.ndarray, np.ndarray]:
     return order, np.searchsorted(home[order], np.arange(buckets + 1))
 
 
-class _State:
-    """A bucket's pairs as they travel from round to round."""
+class _Again:
+    """Pairs of two customers and more; as a row they travel from round to round."""
+
+    def __init__(self, contexts: np.ndarray, dishes: np.ndarray, u: np.ndarray, w: np.ndarray, c: np.ndarray):
+        self.contexts, self.dishes, self.u, self.w, self.c = contexts, dishes, u, w, c
 
-    def __init__(self, packed: bytes):
-        self.contexts, self.dishes, self.u, self.w, self.c = unbundle(packed, np.int64, np.int64, np.int32, np.int32, np.int64)
+    def packed(self) -> bytes:
+        return bundle(self.contexts, self.dishes, self.u.astype(np.int32), self.w.astype(np.int32), self.c)
 
+    @classmethod
+    def of(cls, packed: bytes) -> _Again:
+        return cls(*unbundle(packed, np.int64, np.int64, np.int32, np.int32, np.int64))
 
-def _ups(number: int, buckets: int, pairs: _Pairs | _State, seatings: list[np.ndarray], root_tables: float, vocabulary: float) -> list[tuple]:
+
+def _ups(kind: int, number: int, buckets: int, contexts: np.ndarray, dishes: np.ndarray, sums: list[tuple[np.ndarray, np.ndarray]], root_tables: float, vocabulary: float) -> list[tuple]:
     """A bucket's reports to all buckets of words: the tables of their dishes and contexts in each seating."""
-    sums = [(np.bincount(pairs.w, t, len(pairs.dishes)).astype(np.int64), np.bincount(pairs.u, t, len(pairs.contexts)).astype(np.int64)) for t in seatings]
-    (dishes, at), (contexts, ct) = _dealt(pairs.dishes, buckets), _dealt(pairs.contexts, buckets)
+    (by_dish, at), (by_context, ct) = _dealt(dishes, buckets), _dealt(contexts, buckets)
     rows = []
     for k in range(buckets):
-        i, j = dishes[at[k] : at[k + 1]], contexts[ct[k] : ct[k + 1]]
-        rows.append((_bucket(k), _UP, number, bundle(pairs.dishes[i], *[s[0][i] for s in sums]), bundle(pairs.contexts[j], *[s[1][j] for s in sums]), b"", root_tables, vocabulary))
+        i, j = by_dish[at[k] : at[k + 1]], by_context[ct[k] : ct[k + 1]]
+        rows.append((_bucket(k), kind, number, bundle(dishes[i], *[s[0][i] for s in sums]), bundle(contexts[j], *[s[1][j] for s in sums]), b"", root_tables, vocabulary))
     return rows
 
 
-def _rates(pairs: _Pairs | _State, table: pa.Table, buckets: int, samples: int) -> tuple[list[np.ndarray], np.ndarray, float, float]:
+def _more(p: _Again, seatings: list[np.ndarray]) -> list[tuple[np.ndarray, np.ndarray]]:
+    """For each seating the tables beyond the first of every pair, by dish and by context."""
+    return [(np.bincount(p.w, t - 1, len(p.dishes)).astype(np.int64), np.bincount(p.u, t - 1, len(p.contexts)).astype(np.int64)) for t in seatings]
+
+
+def _rates(pairs: _Again, table: pa.Table, buckets: int, samples: int) -> tuple[list[np.ndarray], np.ndarray, float, float]:
     """From the parent's answers: x * H of each pair for each seating to come, the pairs' keys, the parent's tables and the vocabulary."""
     (dishes, at), (contexts, ct) = _dealt(pairs.dishes, buckets), _dealt(pairs.contexts, buckets)
     h, x = np.zeros(len(pairs.dishes)), np.zeros((samples, len(pairs.contexts)))
@@ -359,9 +376,12 @@ def score(docs: DataFrame, discount: float = DISCOUNT, strength: float = STRENGT
     buckets = 1 << bits
 
     def words(table: pa.Table) -> pa.Table:
-        block = _Block(table)
-        at = bucket_bounds(block.keys, bits)
-        return _rows([(_bucket(b), _WORDS, block.number, pack_keys(block.keys[x:y]), bundle(block.counts[x:y])) for b, (x, y) in enumerate(zip(at[:-1], at[1:], strict=True))])
+        """A block's tokens, to itself, and its words, to their buckets."""
+        ids, lengths, keys, place = _read(table)
+        block = _Block(table["to"][0].as_py(), ids, lengths, len(keys), place, int(np.searchsorted(keys, END)))
+        at = bucket_bounds(keys, bits)
+        own = (block.number, _TOKENS, block.number, ids, bundle(lengths), b"", bundle(place), float(block.words), float(block.end), 0.0)
+        return _rows([own, *[(_bucket(b), _WORDS, block.number, pack_keys(keys[x:y]), bundle(block.counts[x:y])) for b, (x, y) in enumerate(zip(at[:-1], at[1:], strict=True))]])
 
     def merged(table: pa.Table):
         """A bucket's distinct words, each block's places in them, and their total counts."""
@@ -375,13 +395,13 @@ def score(docs: DataFrame, discount: float = DISCOUNT, strength: float = STRENGT
         """Each block's counts, and its words' numbers by frequency; the words in that order stay."""
         b = -1 - table["to"][0].as_py()
         keys, runs, total, order = merged(table)
-        numbers = np.empty(len(keys), np.int64)
-        numbers[order] = np.arange(len(keys)) * buckets + b + _BOS + 1
+        rank = np.empty(len(keys), np.int64)
+        rank[order] = np.arange(len(keys))
         tokens, known = float(total.sum()), float(np.count_nonzero(total))
-        return _rows([(_bucket(b), _LEXICON, b, bundle(keys[order])), *[(k, _COUNTS, b, bundle(total[p], numbers[p]), b"", b"", tokens, known) for k, p in runs]])
+        return _rows([(_bucket(b), _LEXICON, b, bundle(keys[order])), *[(k, _COUNTS, b, bundle(total[p], rank[p]), b"", b"", tokens, known) for k, p in runs]])
 
     def ask(table: pa.Table) -> pa.Table:
-        block = _Block(table)
+        block = _Block.of(table)
         counts, numbers, total, known = block.told(table, bits)
         (bucket, u, w, own), _, _ = block.pairs(counts, numbers, total, bits)
         at, rows = np.searchsorted(bucket, np.arange(buckets + 1)), []
@@ -395,23 +415,26 @@ def score(docs: DataFrame, discount: float = DISCOUNT, strength: float = STRENGT
     def begin(table: pa.Table) -> pa.Table:
         """A bucket's pairs from all blocks, and the first seating: each dish of a context at one table, the parent's tables as many as words."""
         b, p = -1 - table["to"][0].as_py(), _Pairs(table)
-        vocabulary = table["y"][0].as_py()
-        state = bundle(p.contexts, p.dishes, p.u.astype(np.int32), p.w.astype(np.int32), p.c)
-        return _rows([(_bucket(b), _STATE, b, state), *_ups(b, buckets, p, [np.ones(len(p.c))], vocabulary, vocabulary)])
+        vocabulary, some = table["y"][0].as_py(), p.all > 0
+        ones = np.bincount(p.of_dish[some], minlength=len(p.dishes)), np.bincount(p.of_context[some], minlength=len(p.contexts))
+        again, _ = p.again()
+        return _rows([(_bucket(b), _STATE, b, again.packed()), *_ups(_FIRST, b, buckets, p.contexts, p.dishes, [ones], vocabulary, vocabulary), *_ups(_UP, b, buckets, again.contexts, again.dishes, _more(again, [np.ones(len(again.c))]), vocabulary, vocabulary)])
 
     def reports(table: pa.Table, words: int, n: int):
-        """Customers of the parent and tables of the contexts, in n seatings, with each report's places; the parent's tables so far and the vocabulary. The start of texts comes last."""
+        """Customers of the parent and tables of the contexts, in n seatings, with the places that each sender asks for; the parent's tables so far and the vocabulary. The start of texts comes last."""
         b = -1 - table["to"][0].as_py()
-        rows = _of(table, _UP)
         customers, tables, places = np.zeros((n, words), np.int64), np.zeros((n, words + 1), np.int64), []
-        for r in rows:
-            dishes, *mine = unbundle(r["a"], *[np.int64] * (1 + n))
-            contexts, *parts = unbundle(r["b"], *[np.int64] * (1 + n))
+        rows = _of(table, _UP)
+        for r in _of(table, _FIRST) + rows:
+            several = n if r["kind"] == _UP else 1
+            dishes, *mine = unbundle(r["a"], *[np.int64] * (1 + several))
+            contexts, *parts = unbundle(r["b"], *[np.int64] * (1 + several))
             i, j = (dishes - b - _BOS - 1) // buckets, (contexts - b - _BOS - 1) // buckets
-            places.append((r["sender"], i, j))
+            if r["kind"] == _UP:
+                places.append((r["sender"], i, j))
             for k in range(n):
-                customers[k][i] += mine[k]
-                tables[k][j] += parts[k]
+                customers[k][i] += mine[k % several]
+                tables[k][j] += parts[k % several]
         return customers, tables, places, *((rows[0]["x"], rows[0]["y"]) if rows else (0.0, 0.0))
 
     def root_seating(customers: np.ndarray, keys: np.ndarray, tables: float, vocabulary: float, *salt: int) -> np.ndarray:
@@ -436,34 +459,35 @@ def score(docs: DataFrame, discount: float = DISCOUNT, strength: float = STRENGT
         return _rows([(_bucket(k), _DOWN, b, bundle(mass[i].astype(np.float32), short[i]), bundle(short[j], *[v[j] for v in x]), b"", *sums) for k, i, j in places])
 
     def seating(turn: int, table: pa.Table) -> pa.Table:
-        b, p = -1 - table["to"][0].as_py(), _State(_of(table, _STATE)[0]["a"])
+        b, p = -1 - table["to"][0].as_py(), _Again.of(_of(table, _STATE)[0]["a"])
         (rate,), key, tables, vocabulary = _rates(p, table, buckets, 1)
-        return _rows(_ups(b, buckets, p, [stirling(discount).draw(p.c, rate, uniform(key, seed, turn))], tables, vocabulary))
+        drawn = stirling(discount).draw(p.c, rate, uniform(key, seed, turn))
+        return _rows(_ups(_UP, b, buckets, p.contexts, p.dishes, _more(p, [drawn]), tables, vocabulary))
 
     def seatings(table: pa.Table) -> pa.Table:
         """The seatings that count: blocks get each pair's customers and tables, summed over them."""
         b, p = -1 - table["to"][0].as_py(), _Pairs(table)
-        rates, key, tables, vocabulary = _rates(p, table, buckets, samples)
-        drawn = [stirling(discount).draw(p.c, rate, uniform(key, seed, rounds, k)) for k, rate in enumerate(rates)]
-        c, t = np.zeros(p.n, np.int64), np.zeros(p.n, np.int64)
-        c[p.taken], t[p.taken] = p.c, sum(drawn)
-        answers = [(k, _SEATS, b, bundle(c[x], t[x])) for k, x in zip(p.senders, np.split(p.place, p.ends), strict=True)]
-        return _rows([*answers, *_ups(b, buckets, p, drawn, tables, vocabulary)])
+        again, at = p.again()
+        rates, key, tables, vocabulary = _rates(again, table, buckets, samples)
+        drawn = [stirling(discount).draw(again.c, rate, uniform(key, seed, rounds, k)) for k, rate in enumerate(rates)]
+        t = np.where(p.all > 0, samples, 0)
+        t[at] = sum(drawn)
+        answers = [(k, _SEATS, b, bundle(p.all[x], t[x])) for k, x in zip(p.senders, np.split(p.place, p.ends), strict=True)]
+        return _rows([*answers, *_ups(_UP, b, buckets, again.contexts, again.dishes, _more(again, drawn), tables, vocabulary)])
 
     def root(table: pa.Table) -> pa.Table:
-        """Each block's words: their part of the parent's probability and their restaurants' tables, averaged over the seatings."""
+        """Each block's words: their customers and tables in the parent and the tables of their own restaurants, summed over the seatings."""
         b = -1 - table["to"][0].as_py()
         keys, runs, _, order = merged(table)
         customers, tables, _, before, vocabulary = reports(table, len(keys), samples)
         own = np.stack([root_seating(customers[k], keys[order], before, vocabulary, rounds, k) for k in range(samples)])
-        share, average = np.empty(len(keys)), np.empty(len(keys))
-        share[order] = (customers - ROOT_DISCOUNT * own).mean(axis=0)
-        average[order] = tables[:, :-1].mean(axis=0)
+        made = np.empty((3, len(keys)), np.int64)
+        made[:, order] = customers.sum(axis=0), own.sum(axis=0), tables[:, :-1].sum(axis=0)
         sums = customers.sum() / samples, own.sum() / samples, tables[:, -1].mean()
-        return _rows([(k, _ROOT, b, bundle(share[p], average[p]), b"", b"", *map(float, sums)) for k, p in runs])
+        return _rows([(k, _ROOT, b, bundle(*made[:, p]), b"", b"", *map(float, sums)) for k, p in runs])
 
     def finish(table: pa.Table) -> pa.Table:
-        block = _Block(table)
+        block = _Block.of(table)
         counts, numbers, total, known = block.told(table, bits)
         (bucket, *_), place, trained = block.pairs(counts, numbers, total, bits)
         share = np.zeros(len(bucket) + 1)
@@ -472,9 +496,9 @@ def score(docs: DataFrame, discount: float = DISCOUNT, strength: float = STRENGT
             c, t = unbundle(r["a"], np.int64, np.int64)
             share[i] = c - discount * t / samples
         rows = _of(table, _ROOT)
-        made = [(r["sender"], *unbundle(r["a"], np.float64, np.float64)) for r in rows]
-        own = block.gather([(b, x) for b, x, _ in made], bits, np.float64)
-        tables = block.gather([(b, x) for b, _, x in made], bits, np.float64)
+        made = [unbundle(r["a"], *[np.int64] * 3) for r in rows]
+        own = np.concatenate([c - ROOT_DISCOUNT * t for c, t, _ in made]) / samples
+        tables = np.concatenate([t for _, _, t in made]) / samples
         customers, root_tables, start = (sum(r[k] for r in rows) for k in "xyz")
         up = ((own + (ROOT_STRENGTH + ROOT_DISCOUNT * root_tables) / (known + 1)) / (ROOT_STRENGTH + customers))[block.place]
         seated = block.before(tables, start)
@@ -509,20 +533,21 @@ def score(docs: DataFrame, discount: float = DISCOUNT, strength: float = STRENGT
         return rows.groupBy("to").applyInArrow(f, _ROW_DDL).repartition(n, "to")
 
     def only(df: DataFrame, kind: int) -> DataFrame:
-        """Rows of a kind. The chance is there for the optimizer: it doesn't move this below an exchange, so that the exchange can be used again."""
-        return df.where(F.when(F.rand(1) >= 0, F.col("kind") == kind))
+        """Rows of a kind. The partition's number is there for the optimizer: it doesn't move this below an exchange, so that the exchange can be used again."""
+        return df.where(F.when(F.spark_partition_id() >= 0, F.col("kind") == kind))
 
-    texts = placed.mapInArrow(_tokenised, _ROW_DDL).repartition(n, "to")
+    texts = placed.mapInArrow(_packed, _ROW_DDL).repartition(n, "to")
     told = sent(words, texts)
-    counted = sent(count, told)
-    asked = sent(ask, texts, only(counted, _COUNTS))
+    tokens = only(told, _TOKENS)
+    counted = sent(count, only(told, _WORDS))
+    asked = sent(ask, tokens, only(counted, _COUNTS))
     begun = sent(begin, asked)
-    up = only(begun, _UP)
+    first, up = only(begun, _FIRST), only(begun, _UP)
     for turn in range(rounds):
-        down = sent(in_turn(parent, turn), only(counted, _LEXICON), up)
+        down = sent(in_turn(parent, turn), only(counted, _LEXICON), first, up)
         if turn < rounds - 1:
             up = sent(in_turn(seating, turn), only(begun, _STATE), down)
     final = sent(seatings, asked, down)
-    roots = sent(root, told, only(final, _UP))
-    everything = texts.unionByName(only(counted, _COUNTS)).unionByName(only(final, _SEATS)).unionByName(roots)
+    roots = sent(root, only(told, _WORDS), first, only(final, _UP))
+    everything = tokens.unionByName(only(counted, _COUNTS)).unionByName(only(final, _SEATS)).unionByName(roots)
     return everything.groupBy("to").applyInArrow(finish, "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double, perplexity double")
