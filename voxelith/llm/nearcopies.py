@@ -176,9 +176,13 @@ def near_copies(docs: DataFrame, size: int = 5, similarity: float = 0.8) -> Data
         for batch in batches:
             raw, at = byte_buffer(batch.column("text"))
             data = lower_bytes(raw).tobytes()
-            rows = [data[a:b].split() for a, b in zip(at[:-1].tolist(), at[1:].tolist(), strict=True)]
-            made = [signature(w, size) for w in rows]
-            nodes, other = (np.array([xxhash.xxh64_intdigest(b" ".join(w), seed=k) for w in rows], np.uint64).view(np.int64) for k in (0, 1))
+            made, nodes, other = [], np.empty(batch.num_rows, np.uint64), np.empty(batch.num_rows, np.uint64)
+            for k, (a, b) in enumerate(zip(at[:-1].tolist(), at[1:].tolist(), strict=True)):  # one row's words at a time
+                words = data[a:b].split()
+                whole = b" ".join(words)
+                made.append(signature(words, size))
+                nodes[k], other[k] = (xxhash.xxh64_intdigest(whole, seed=s) for s in (0, 1))
+            nodes, other = nodes.view(np.int64), other.view(np.int64)
             limbs = [pa.array([m[0][k] for m in made], pa.int64()) for k in range(LIMBS)]
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("tid"), pa.array(nodes), pa.array(other), *limbs, pa.array([m[1] for m in made], pa.list_(pa.int64()))], ["doc_id", "tid", "node", "other", *[f"f{k}" for k in range(LIMBS)], "keys"])
 

@@ -21,7 +21,7 @@ from pyspark.sql import functions as F
 SPACE = "▁"
 MARK = "\ud800"  # stands for a SPACE of the text itself; no valid text holds it
 #: Texts that are worked on at once, and chunks that a worker remembers.
-ROWS, REMEMBERED = 512, 1_000_000
+ROWS, REMEMBERED = 512, 400_000
 
 OTHERS = "array<struct<score:double,ids:array<int>>>"
 CHANGES = "array<struct<score:double,changes:array<struct<start:int,end:int,ids:array<int>>>>>"
@@ -326,7 +326,7 @@ def encode(docs: DataFrame, model_path: str, n: int = 2, changes_only: bool = Fa
     schema = ", ".join([f"`{f.name.replace('`', '``')}` {f.dataType.simpleString()}" for f in own.schema] + [f"{a} {t}" for a, t in added])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        gc.disable()  # nothing here is cyclic, and a million remembered chunks are long to walk
+        gc.disable()  # nothing here is cyclic, and the remembered chunks are long to walk
         try:
             yield from encoded(batches)
         finally:

@@ -55,9 +55,11 @@ def fingerprints(docs: DataFrame, size: int = 3) -> DataFrame:
         for batch in batches:
             raw, at = byte_buffer(batch.column("text"))
             data = lower_bytes(raw).tobytes()
-            rows = [data[a:b].split() for a, b in zip(at[:-1].tolist(), at[1:].tolist(), strict=True)]
-            fps = np.array([simhash(w, size) for w in rows], np.uint64).view(np.int64)
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(fps), pa.array([len(w) for w in rows], pa.int64())], ["doc_id", "fp", "n_words"])
+            fps, counts = np.empty(batch.num_rows, np.uint64), np.empty(batch.num_rows, np.int64)
+            for k, (a, b) in enumerate(zip(at[:-1].tolist(), at[1:].tolist(), strict=True)):  # one row's words at a time
+                words = data[a:b].split()
+                fps[k], counts[k] = simhash(words, size), len(words)
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(fps.view(np.int64)), pa.array(counts)], ["doc_id", "fp", "n_words"])
 
     return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, fp long, n_words long")
 
