@@ -22,7 +22,8 @@ GRID = np.arange(64, dtype="<u2").reshape(8, 8)
 def view(spark, root, dtype="uint16", **given):
     axes = (Axis("y", "space"), Axis("x", "space"))
     summary = lambda s, e, by: read_cells(spark, root, start=s, end=e, mode="partials", by=",".join(f"{n}:{k}" for n, k in by.items()))
-    return ArrayView(read_cells(spark, root), axes, (8, 8), dtype, (3, 4), (0.5, 0.5), (0.0, 0.0), load=lambda s, e: read_cells(spark, root, start=s, end=e), summary=summary, **given)
+    cells = read_cells(spark, root)
+    return ArrayView(cells, axes, (8, 8), dtype, (3, 4), (0.5, 0.5), (0.0, 0.0), load=lambda s, e: read_cells(spark, root, start=s, end=e), summary=summary, origin=cells, **given)
 
 
 def test_overwrite_leaves_nothing_else(spark, tmp_path):
@@ -43,6 +44,17 @@ def test_partials_like_cells(spark, tmp_path):
             assert sorted(map(tuple, f(part).collect())) == sorted(map(tuple, f(plain).collect()))
 
 
+def test_replaced_cells_are_the_view(spark, tmp_path):
+    """A view whose cells were replaced is aggregated and cut by these, not by the store's."""
+    import dataclasses
+
+    v3_array(str(tmp_path), "", GRID, (3, 4))
+    whole = view(spark, str(tmp_path))
+    other = dataclasses.replace(whole, cells=whole.cells.selectExpr("y", "x", "CAST(1 AS INT) AS value"))
+    assert whole.partials({}) is not None and whole.region((1, 1), (3, 3)).partials({}) is not None and other.partials({}) is None
+    assert A.stats(other).first().max_v == A.stats(other.region((0, 0), (2, 2))).first().max_v == 1
+
+
 def test_partials_of_types():
     for kind in ("u1", "i8", "f4", "?"):
         b = partials((2, 4), np.array([[1, 0, 1], [0, 1, 1]], kind), ("y", "x"), [(1, 2)])

@@ -102,7 +102,8 @@ class Level:
         summary = lambda start, end, by: read_cells(self.image.spark, self.image.uri, self.path, start, end, names, mode="partials", by=",".join(f"{n}:{k}" for n, k in by.items()), **options)
         masked = lambda start, end, labels: read_cells(self.image.spark, self.image.uri, self.path, start, end, names, mode="masked", labels=labels, **options)
         scale, translation = self.transform
-        return ArrayView(read_cells(self.image.spark, self.image.uri, self.path, axes=names, **options), self.axes, self.shape, self.data_type.name, self.array.read_chunks, scale, translation, load=load, summary=summary, source=(self.image.uri, self.path), masked=masked)
+        cells = read_cells(self.image.spark, self.image.uri, self.path, axes=names, **options)
+        return ArrayView(cells, self.axes, self.shape, self.data_type.name, self.array.read_chunks, scale, translation, load=load, summary=summary, origin=cells, source=(self.image.uri, self.path), masked=masked)
 
     def read(self, start, end, zero: bool = False):
         """A small region as a NumPy array, read in this process."""

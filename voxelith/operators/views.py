@@ -42,6 +42,8 @@ class ArrayView:
     load: Callable[[tuple, tuple], DataFrame] | None = None
     #: Partial aggregates of a box by some axes, made where chunks are read, if the view comes from a store: see ``partials``.
     summary: Callable[[tuple, tuple, dict[str, int]], DataFrame] | None = None
+    #: The cells as they came from the store; a view whose cells were replaced is read no other way.
+    origin: DataFrame | None = None
     #: The store and array that a whole view shows, and sums under a label array of the same store: see ``under``.
     source: tuple[str, str] | None = None
     masked: Callable[[tuple, tuple, str], DataFrame] | None = None
@@ -84,9 +86,11 @@ class ArrayView:
     def region(self, start, end) -> ArrayView:
         """The half-open box [start, end)."""
         start, end = validate_region(self.shape, start, end)
-        cells = self.load(start, end) if self.load else self.cells
+        stored = self.cells is self.origin
+        cells = self.load(start, end) if self.load and (stored or self.origin is None) else self.cells
         box = [(F.col(n) >= s) & (F.col(n) < e) for n, s, e, size in zip(self.names, start, end, self.shape, strict=True) if s > 0 or e < size]
-        return dataclasses.replace(self, cells=cells.where(functools.reduce(lambda a, b: a & b, box)) if box else cells, start=start, end=end)
+        cells = cells.where(functools.reduce(lambda a, b: a & b, box)) if box else cells
+        return dataclasses.replace(self, cells=cells, origin=cells if stored else self.origin, start=start, end=end)
 
     def pixel_region(self, box: PixelRegion) -> ArrayView:
         return self.region(box.start, box.end)
@@ -159,11 +163,13 @@ class ArrayView:
 
     def partials(self, by: dict[str, int]) -> DataFrame | None:
         """(<axis> div <size> of ``by``, min_v, max_v, sum_v, n): one row for each chunk and group, to be aggregated again; none if cells are all there is."""
-        return self.summary(self.start, self.end, by) if self.summary else None
+        return self.summary(self.start, self.end, by) if self.summary and self.cells is self.origin else None
 
     def under(self, labels: ArrayView) -> DataFrame | None:
         """(label, sum_v, n) of each chunk's values under labels that lie on the same grid of the same store, read chunk by chunk with them; none otherwise."""
-        if not (self.masked and self.source and labels.source and self.source[0] == labels.source[0] and labels.extent == labels.shape):
+        if not (self.masked and self.cells is self.origin and labels.origin is not None and labels.cells is labels.origin):
+            return None
+        if self.source[0] != labels.source[0] or labels.extent != labels.shape:
             return None
         size = dict(zip(self.names, self.shape, strict=True))
         if any(size.get(n) != k for n, k in zip(labels.names, labels.shape, strict=True)):
@@ -177,7 +183,7 @@ class ArrayView:
         keep = [k for k, n in enumerate(self.extent) if n > 1] or [self.rank - 1]
         pick = lambda x: tuple(x[k] for k in keep)
         names = [self.names[k] for k in keep]
-        return dataclasses.replace(self, cells=self.cells.select(*names, "value"), axes=pick(self.axes), shape=pick(self.shape), chunks=pick(self.chunks), scale=pick(self.scale), translation=pick(self.translation), start=pick(self.start), end=pick(self.end), load=None, summary=None, source=None, masked=None)
+        return dataclasses.replace(self, cells=self.cells.select(*names, "value"), axes=pick(self.axes), shape=pick(self.shape), chunks=pick(self.chunks), scale=pick(self.scale), translation=pick(self.translation), start=pick(self.start), end=pick(self.end), load=None, summary=None, origin=None, source=None, masked=None)
 
     def densify(self, fill: float | int = 0) -> DataFrame:
         """Every cell of the view, absent ones with ``fill``: the grid of axes, left-joined to the cells."""
