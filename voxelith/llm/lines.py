@@ -9,6 +9,8 @@ from voxelith.llm.common import SPACE_CHARS, ascii_lower, shuffle_partitions, un
 
 #: A line's occurrences are dealt to so many groups by document, so that a very common line is no single task's.
 SALTS = 64
+#: Bits of a hash that make its range.
+RANGE_BITS = 16
 FIRST_ID = -(1 << 63)
 
 
@@ -32,16 +34,18 @@ def dropped_lines(docs: DataFrame, min_chars: int = 10) -> DataFrame:
     """Bitmaps of the lines to drop: (did, tid, n_dropped, words), a row for each document that loses a line.
 
     ``words`` maps 64-line words to their bits, and holds only words with a bit set. Lines
-    are range-partitioned by hash and salt, sorted by document and position, and streamed:
-    what is not of a group's first document goes. The one document left of each salt then
+    are partitioned by range of hash and salt, sorted by document and position, and streamed:
+    what is not of a group's first document goes. Hashes are even, so that their ranges are cut
+    by arithmetic and no sample is taken. The one document left of each salt then
     meets the others of its hash, at most SALTS of them.
     A null doc_id ranks before all others; rows of one doc_id count as one document.
     """
     n = shuffle_partitions(docs.sparkSession)
     lines = _keyed(docs, min_chars).withColumn("salt", F.pmod(F.xxhash64("did"), F.lit(SALTS)).cast("int"))
-    within = Window.partitionBy("h1", "h2", "salt").orderBy("did", "pos").rowsBetween(Window.unboundedPreceding, 0)
+    within = Window.partitionBy("range", "salt", "h1", "h2").orderBy("did", "pos").rowsBetween(Window.unboundedPreceding, 0)
     across = Window.partitionBy("h1", "h2").orderBy("did", "pos").rowsBetween(Window.unboundedPreceding, 0)
-    streamed = lines.repartitionByRange(n, "h1", "salt").withColumn("first", F.first("did").over(within))
+    ranged = lines.withColumn("range", F.shiftrightunsigned("h1", 64 - RANGE_BITS).cast("int")).repartition(n, "range", "salt")
+    streamed = ranged.withColumn("first", F.first("did").over(within))
     later = streamed.where("did <> first")
     kept = streamed.where("did = first").withColumn("first", F.first("did").over(across)).where("did <> first")
     bits = (
