@@ -32,7 +32,7 @@ def layout(docs: DataFrame) -> tuple[DataFrame, int, int]:
     each = min(MOST_BYTES, max(LEAST_BYTES, 4 * math.isqrt(RUN_KEYS * total // 4)))
     n = shuffle_partitions(docs.sparkSession)
     blocks = max(2 * n, math.ceil(total / each))
-    bits = min(24, max(2, math.ceil(math.log2(max(1, total / each / BUCKET_BLOCKS)))))
+    bits = min(24, max(2, math.ceil(math.log2(blocks / BUCKET_BLOCKS))))
     return docs.withColumn("block", F.pmod(F.xxhash64("doc_id", "text"), F.lit(blocks))), n, bits
 
 
