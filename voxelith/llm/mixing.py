@@ -15,7 +15,7 @@ from voxelith.llm.common import checkpointed, shuffle_partitions, unused, words
 #: Newton's steps between two checkpoints, the most turns of these, and the relative error of a source's tokens that ends them.
 STEPS, TURNS, TOLERANCE = 4, 25, 1e-9
 #: Bits of a row's hash that cut the documents of one source and size into runs, so that no run of equal documents is one task's.
-RUN_BITS = 12
+RUN_BITS = 9
 #: Sizes of a source, the smallest, that even out what rounding left.
 LAST = 64
 SOURCE = ["sn", "sk"]
